@@ -65,12 +65,12 @@ class Counter:
         if not text:
             return 0
         cut = _CUT.findall(" " + text)  # the library's dummy prefix
-        new = set(cut) - self.memo.keys()
+        new = [x for x in set(cut) if x not in self.memo]
         if len(self.memo) + len(new) > MEMO + len(self.whole):
             self.memo = dict(self.whole)
-            new = set(cut) - self.memo.keys()
+            new = [x for x in set(cut) if x not in self.memo]
         if new:
-            got = dict(zip(new, self.merged(list(new))))
+            got = dict(zip(new, self.merged(new)))
             fit = {x: n for x, n in got.items() if len(x) <= MEMO_CHARS} if len(got) <= MEMO else {}
             self.memo |= fit
             if len(fit) < len(got):
