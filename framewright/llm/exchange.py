@@ -173,16 +173,17 @@ def first_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return heads, rep
 
 
-def blocks(plan: Plan, chunk: int, docs: Docs, position: np.ndarray, h: np.ndarray, extra: Callable[[np.ndarray], list[np.ndarray]] | None = None) -> Iterator[tuple[int, int, bytes]]:
+def blocks(plan: Plan, chunk: int, docs: Docs, position: np.ndarray, h: np.ndarray, counts: bool = False) -> Iterator[tuple[int, int, bytes]]:
     """(bucket, chunk, block) rows of one chunk: the buckets' entries, then the chunk's own block.
 
     ``position`` (ascending) and ``h`` are the items.  A block has the entries' positions and keys, the ids, first positions and tags of their documents, each entry's document among these, and
-    ``extra`` of the first occurrences' indices.  The own block has the documents and, for each item that is no first
+    with ``counts`` how often the chunk has each item.  The own block has the documents and, for each item that is no first
     occurrence, (position, position of the first).
     """
     heads, rep = first_of(h)
     heads.sort()
     bucket, key = plan.keys(h[heads])
+    times = np.bincount(rep, minlength=len(h)) if counts else None
     order = np.argsort(bucket, kind="stable")  # within a bucket by position
     cuts = np.searchsorted(bucket[order], np.arange(plan.buckets + 1))
     for b in np.flatnonzero(np.diff(cuts)):
@@ -191,7 +192,7 @@ def blocks(plan: Plan, chunk: int, docs: Docs, position: np.ndarray, h: np.ndarr
         p = position[i]
         d = docs.of(p)
         used, which = np.unique(d, return_inverse=True)
-        yield int(b), chunk, pack(p, plan.narrow(key[at]), docs.ids[used], docs.first[used], docs.tag[used], which, *(extra(i) if extra else ()))
+        yield int(b), chunk, pack(p, plan.narrow(key[at]), docs.ids[used], docs.first[used], docs.tag[used], which, *([times[i]] if counts else ()))
     other = np.flatnonzero(rep != np.arange(len(h)))
     yield chunk % plan.buckets, chunk, b"S" + pack(docs.ids, docs.text_hash, docs.first, position[other], position[rep[other]])
 
@@ -199,7 +200,7 @@ def blocks(plan: Plan, chunk: int, docs: Docs, position: np.ndarray, h: np.ndarr
 def exchange(docs: DataFrame, plan: Plan, emit: Callable, answer: Callable, gather: Callable, schema: str) -> DataFrame:
     """Runs the exchange over ``docs(doc_id, text_hash, text)``.
 
-    ``emit(plan, chunk, ids, hashes, texts)`` yields a chunk's rows by :func:`blocks`; ``answer(plan, blocks)`` gets the entry
+    ``emit(plan, chunk, ids, hashes, texts)`` yields a chunk's rows by :func:`blocks`; ``answer(plan, bucket, blocks)`` gets the entry
     blocks of a bucket as lists of arrays and yields a block for each, or None; ``gather(docs, own, answers)`` yields
     record batches of ``schema`` for a chunk from its documents, its own pairs and the answers' arrays.
     """
@@ -223,10 +224,10 @@ def exchange(docs: DataFrame, plan: Plan, emit: Callable, answer: Callable, gath
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(rows, row)], schema=row)
 
     def respond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, chunk, got in grouped(batches, "bucket"):
+        for bucket, chunk, got in grouped(batches, "bucket"):
             own = [(c, b) for c, b in zip(chunk, got) if b[:1] == b"S"]
             sent = [(c, unpack(b)) for c, b in zip(chunk, got) if b[:1] != b"S"]
-            out = own + [(c, b) for (c, _), b in zip(sent, answer(plan, [x for _, x in sent])) if b is not None] if sent else own
+            out = own + [(c, b) for (c, _), b in zip(sent, answer(plan, bucket, [x for _, x in sent])) if b is not None] if sent else own
             for i in range(0, len(out), 256):
                 part = out[i : i + 256]
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in part], pa.int64()), pa.array([b for _, b in part], pa.binary())], names=["chunk", "block"])

@@ -38,7 +38,7 @@ def _emit(k: int):
     return emit
 
 
-def sources(plan: Plan, sent: list[list[np.ndarray]]) -> Iterator[bytes | None]:
+def sources(plan: Plan, bucket: int, sent: list[list[np.ndarray]]) -> Iterator[bytes | None]:
     """For each chunk's entries that start in a smaller document too: (position, source document, its tag, place in it)."""
     sizes = [len(x[0]) for x in sent]
     key = np.concatenate([plan.wide(x[1]) for x in sent])
