@@ -182,3 +182,29 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(doc, kind="stable")
         doc, h = doc[order], h[order]
     return doc, h
+
+
+def grams(buf: np.ndarray, k: int) -> np.ndarray:
+    """Scrambled hashes of the k bytes from each place on that has so many."""
+    n = max(0, len(buf) - k + 1)
+    out = np.empty(n, np.uint64)
+    for lo in range(0, n, BLOCK // 4):
+        m = min(BLOCK // 4, n - lo)
+        sums = np.zeros(m + k, np.uint64)
+        np.cumsum((buf[lo : lo + m + k - 1].astype(np.uint64) + np.uint64(1)) * _power(_P, m + k - 1), out=sums[1:])
+        out[lo : lo + m] = mixed((sums[k:] - sums[:-k]) * _power(_P_INV, m))
+    return out
+
+
+def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
+    """Minimum of each w neighbours."""
+    n = len(x)
+    if n < w:
+        return x[:0]
+    m = -(-n // w) * w
+    p = np.full(m, np.iinfo(x.dtype).max, x.dtype)
+    p[:n] = x
+    p = p.reshape(-1, w)
+    front = np.minimum.accumulate(p, axis=1).ravel()
+    back = np.minimum.accumulate(p[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[: n - w + 1], front[w - 1 : n])

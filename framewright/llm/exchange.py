@@ -173,16 +173,17 @@ def first_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return heads, rep
 
 
-def blocks(plan: Plan, chunk: int, docs: Docs, position: np.ndarray, h: np.ndarray, counts: bool = False) -> Iterator[tuple[int, int, bytes]]:
+def blocks(plan: Plan, chunk: int, docs: Docs, position: np.ndarray, h: np.ndarray, counts: bool = False, group: np.ndarray | None = None) -> Iterator[tuple[int, int, bytes]]:
     """(bucket, chunk, block) rows of one chunk: the buckets' entries, then the chunk's own block.
 
     ``position`` (ascending) and ``h`` are the items.  A block has the entries' positions and keys, the ids, first positions and tags of their documents, each entry's document among these, and
-    with ``counts`` how often the chunk has each item.  The own block has the documents and, for each item that is no first
+    with ``counts`` how often the chunk has each item.  With ``group``, items are dealt and keyed by that hash, and their own
+    follows.  The own block has the documents and, for each item that is no first
     occurrence, (position, position of the first).
     """
     heads, rep = first_of(h)
     heads.sort()
-    bucket, key = plan.keys(h[heads])
+    bucket, key = plan.keys((h if group is None else group)[heads])
     times = np.bincount(rep, minlength=len(h)) if counts else None
     order = np.argsort(bucket, kind="stable")  # within a bucket by position
     cuts = np.searchsorted(bucket[order], np.arange(plan.buckets + 1))
@@ -192,7 +193,7 @@ def blocks(plan: Plan, chunk: int, docs: Docs, position: np.ndarray, h: np.ndarr
         p = position[i]
         d = docs.of(p)
         used, which = np.unique(d, return_inverse=True)
-        yield int(b), chunk, pack(p, plan.narrow(key[at]), docs.ids[used], docs.first[used], docs.tag[used], which, *([times[i]] if counts else ()))
+        yield int(b), chunk, pack(p, plan.narrow(key[at]), docs.ids[used], docs.first[used], docs.tag[used], which, *([times[i]] if counts else ()), *([h[i].view("V8")] if group is not None else ()))
     other = np.flatnonzero(rep != np.arange(len(h)))
     yield chunk % plan.buckets, chunk, b"S" + pack(docs.ids, docs.text_hash, docs.first, position[other], position[rep[other]])
 

@@ -3,15 +3,15 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from framewright.llm import substring_dedup
+from framewright.llm import queries, substring_dedup, suffix_dedup
 from framewright.llm.exchange import pack, unpack
 
-import numpy as np
-
 
 def test_blocks_round_trip():
     rng = np.random.default_rng(0)
@@ -81,3 +81,57 @@ def test_words_wrong_hash_is_caught(docs_of, monkeypatch):
     rows = [(i, " ".join(rng.choice("abcdefghij") for _ in range(200))) for i in range(20)]
     assert tuples(substring_dedup.substring_dedup(docs_of(rows), k=4), W) == words_by_hand(rows, 4)
     assert len(calls) == 2
+
+
+def bytes_by_hand(rows, size):
+    parts = [(d, (t or "").encode()) for d, t in rows]
+    seen = Counter(b[i : i + size] for _, b in parts for i in range(len(b) - size + 1))
+    out = []
+    for d, b in parts:
+        gone = bytearray(len(b))
+        for i in range(len(b) - size + 1):
+            if seen[b[i : i + size]] > 1:
+                gone[i : i + size] = b"x" * size
+        runs = len(re.findall(b"x+", bytes(gone)))
+        kept = bytes(c for c, g in zip(b, gone) if not g)
+        out.append((d, len(b), len(b) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+B = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+
+@pytest.mark.parametrize("size,gram", [(12, 8), (30, 8), (30, 20)])
+def test_bytes_small_sizes(docs_of, size, gram):
+    rng = random.Random(size + gram)
+    base = ["".join(rng.choice("ab é") for _ in range(rng.randrange(150))) for _ in range(6)]
+    rows = [(None, base[0]), (None, None), (7, ""), (7, "short"), (8, "ab" * 60), (9, "x" * 100), (10, "x" * (size + 1)), (11, "y" * size), (12, base[1]), (12, base[1])]
+    for i in range(120):
+        t = rng.choice(base)
+        a, b = sorted(rng.randrange(len(t) + 1) for _ in range(2))
+        u = list(rng.choice(base)[:40] + t[a:b] + rng.choice(base)[-30:])
+        for _ in range(rng.randrange(3)):
+            if u:
+                u[rng.randrange(len(u))] = rng.choice("abz")
+        rows.append((20 + i % 100, "".join(u)))
+    docs = docs_of(rows).repartition(6).withColumn("marks", F.lit(1)).withColumn("start", F.lit("x"))
+    assert tuples(suffix_dedup.suffix_dedup(docs, size, gram), B) == bytes_by_hand(rows, size)
+    assert suffix_dedup.suffix_dedup(docs_of([])).count() == 0
+
+
+def test_bytes_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = bytes_by_hand([(r["doc_id"], r["text"]) for r in docs.collect()], 400)
+    assert tuples(queries.op4_suffix_dedup(spark, "/root/testdata/sf0.01"), B) == want
+    assert sum(x[2] for x in want) > 10_000
+
+
+def test_merge_of_front_coded_runs():
+    rng = random.Random(10)
+    for n in (1, 2, 3, 7, 8):
+        runs = [sorted("".join(rng.choice("ab") for _ in range(rng.randrange(9))).encode() for _ in range(rng.randrange(20))) for _ in range(n)]
+        coded = [suffix_dedup.front_coded(r) for r in runs if r]
+        got = list(suffix_dedup.merged([suffix_dedup.decoded(a.tolist(), b.tolist(), c) for a, b, c in coded]))
+        want = sorted(x for r in runs for x in r)
+        assert [s for _, _, s in got] == want
+        assert [p for _, p, _ in got] == [suffix_dedup.common(a, b) for a, b in zip([b"", *want], want)]
