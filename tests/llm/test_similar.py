@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.llm import graph, ngram_join, queries
+from framewright.llm import decontaminate, graph, ngram_join, queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -141,3 +141,56 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {n: uf.find(n) for ab in links if ab[0] != ab[1] for n in ab}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# ------------------------------------------------------------------ decontamination
+
+
+def leaks_by_hand(docs, items, contained=0.75, k=5):
+    out = []
+    for d, t in docs:
+        w = words(t)
+        have = {n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for n in range(1, k + 1)}
+        for i, x in items:
+            s = shingle_set(x, k)
+            if s:
+                o = len(s & have[len(next(iter(s)))])
+                if o and o >= contained * len(s):
+                    out.append((d, i, o, len(s)))
+    return sorted(out, key=str)
+
+
+def found_rows(df):
+    return sorted((tuple(r) for r in df.select("doc_id", "item_id", "shared", "shingles").collect()), key=str)
+
+
+def test_leaks_whole_table(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    want = leaks_by_hand(docs, items)
+    assert found_rows(queries.op6_decontaminate(spark, SF)) == want and want
+
+
+def test_leaks_edges(spark, docs_of):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
+    items = [(i, " ".join(word() for _ in range(rng.choice([1, 2, 4, 5, 6, 9, 17, 60])))) for i in range(40)] + [(None, None), (41, ""), (42, " \n"), (None, "Null item of six words here"), (3, "same id other text of an item")]
+    docs = []
+    for i in range(150):
+        t = [word() for _ in range(rng.randrange(400))]
+        for _, x in rng.sample(items, 3):
+            p = (x or "").split()
+            if p and rng.random() < 0.5:
+                p[rng.randrange(len(p))] = word()
+            a = rng.randrange(len(t) + 1)
+            t[a:a] = [q.upper() for q in p]
+        docs.append((i, " ".join(t)))
+    docs += [(None, items[7][1]), (1005, None), (1006, "")] + docs[:2]
+    d, b = docs_of(docs).withColumn("item_id", F.lit(1)), spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("x"))
+    found = decontaminate.leaks(d, b)
+    assert found_rows(found) == leaks_by_hand(docs, items)
+    assert found_rows(decontaminate.leaks(d, b, per_round=10)) == leaks_by_hand(docs, items)
+    clean = decontaminate.decontaminated(d, found)
+    bad = {x[0] for x in leaks_by_hand(docs, items)}
+    assert clean.columns == d.columns and {r["doc_id"] for r in clean.collect()} == {x[0] for x in docs if x[0] not in bad}
+    assert decontaminate.leaks(docs_of([]), b).count() == 0 and decontaminate.leaks(d, b.limit(0)).count() == 0
