@@ -53,6 +53,18 @@ def clean_up(spark: SparkSession) -> None:
             return
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that ``df`` doesn't have, whatever it has."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
 def text_of(col: str = "text") -> Column:
     """The text, empty for null."""
     return F.coalesce(F.col(col), F.lit(""))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mixed, shingles
+from .common import Words, fresh, mixed, shingles
 from .exchange import with_text
 
 K = 5
@@ -162,7 +162,7 @@ def leaks(docs: DataFrame, bench: DataFrame, k: int = K, contained: float = CONT
 
 def decontaminated(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of ``docs`` without any leak of ``found``."""
+    i, h = fresh(docs, "_id", "_h")
     # a list of whole documents is not bounded: Spark decides how to join by its size
-    bad = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct()
-    h = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_id"]) & (h == bad["_h"]), "left_anti")
+    bad = found.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad[i]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad[h]), "left_anti")

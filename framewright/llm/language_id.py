@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import fresh, text_of
 
 DIM = 1 << 12
 PER_LANG, MAX_ROWS = 1000, 8000
@@ -145,7 +145,8 @@ def predicted(docs: DataFrame, model: Model | None, columns: list[str], dim: int
             yield pd.DataFrame([(UND, 0.0) if m is None or t is None else m.predict(features(t, dim)) for t in texts], columns=["lang_pred", "score"]).astype({"lang_pred": object, "score": float})
 
     letters = F.when(text_of().rlike(r"\p{L}"), F.col("text"))
-    return docs.withColumn("_p", predict(letters)).select(*columns, "_p.lang_pred", "_p.score")
+    (p,) = fresh(docs, "_p")
+    return docs.withColumn(p, predict(letters)).select(*columns, f"{p}.lang_pred", f"{p}.score")
 
 
 def language_id(docs: DataFrame) -> DataFrame:

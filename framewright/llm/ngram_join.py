@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, shingles, written
+from .common import Words, fresh, shingles, written
 from .exchange import NO_ID, Docs, Plan, blocks, exchange, pack, unpack, with_text
 from .graph import components
 
@@ -299,9 +299,9 @@ def one_of_each(docs: DataFrame, joined: DataFrame) -> DataFrame:
 
     The row number after the join needs no further exchange, as it is dealt by the same two columns.
     """
-    first = joined.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("node").alias("_node"))).alias("x")).select("x.*")
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_h": F.xxhash64(F.coalesce("text", F.lit("")))})
-    stays = first.select("_id", F.conv(F.hex(F.substring("_node", 9, 8)), 16, -10).cast("long").alias("_h"))
-    kept = rows.join(stays, ["_id", "_h"])
-    nth = F.row_number().over(Window.partitionBy("_id", "_h").orderBy(F.lit(0)))
-    return kept.withColumn("_nth", nth).filter("_nth = 1").select(*docs.columns)
+    i, h, nth = fresh(docs, "_id", "_h", "_nth")
+    first = joined.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias(i), F.col("node").alias("node"))).alias("x")).select("x.*")
+    rows = docs.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), h: F.xxhash64(F.coalesce("text", F.lit("")))})
+    stays = first.select(i, F.conv(F.hex(F.substring("node", 9, 8)), 16, -10).cast("long").alias(h))
+    kept = rows.join(stays, [i, h])
+    return kept.withColumn(nth, F.row_number().over(Window.partitionBy(i, h).orderBy(F.lit(0)))).filter(F.col(nth) == 1).select(*docs.columns)

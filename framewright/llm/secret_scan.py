@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import fresh, text_of, written
 
 #: The base patterns; their order breaks ties of start.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -104,10 +104,10 @@ def secret_scan(docs: DataFrame, key: str = "doc_id", repo: str = "doc_id", owne
 def redacted(docs: DataFrame, scanned: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with each live span of ``scanned`` replaced by ``mark``; all columns stay, ``n_chars`` follows the text."""
     # overlapping live spans are taken together, from left to right
+    i, h, found = fresh(docs, "_id", "_h", "_live")
     live = F.filter("spans", lambda s: s["live"])
-    hits = scanned.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), F.transform(live, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("_live")).filter(F.size("_live") > 0).distinct()
-    text = text_of()
-    joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits["_id"]) & (F.xxhash64(text) == hits["_h"]), "left")
+    hits = scanned.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.transform(live, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(found)).filter(F.size(found) > 0).distinct()
+    joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits[i]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == hits[h]), "left")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -115,8 +115,8 @@ def redacted(docs: DataFrame, scanned: DataFrame, mark: str = "[secret]") -> Dat
         out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    new = F.aggregate("_live", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length(F.col("text")))))
-    out = joined.withColumn("text", F.when(F.col("_live").isNull(), F.col("text")).otherwise(new))
+    new = F.aggregate(found, zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length(F.col("text")))))
+    out = joined.withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(new))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_live").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(found).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
