@@ -1,0 +1 @@
+"""Column functions: text, time, images."""

@@ -1,0 +1 @@
+"""Whole runs: which operators, in which order."""
