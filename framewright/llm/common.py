@@ -7,6 +7,7 @@ partition is either a DataFrame row or a byte block of bounded size; see ``excha
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -31,7 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage, outlives lost executors, is computed once."""
+    """``df`` as a table in the shared folder: cuts the lineage, outlives lost executors, is computed once.
+
+    After a large exchange, call :func:`released` once nothing refers to it.
+    """
     spark = df.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
@@ -41,6 +45,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what is no longer used, which it does once the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clean_up(spark: SparkSession) -> None:
     """Deletes the tables that :func:`written` made; for the end of a session."""
     while _made:
@@ -114,7 +124,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 #: Bytes hashed as a row of 64-bit sums at once; bounds the memory of the sums.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 
 
 class Words:
@@ -133,7 +143,7 @@ class Words:
         before[0] = True
         before[1:] = space[:-1]
         keep = ~(space & before)
-        at = np.cumsum(keep)  # kept bytes up to and with this one
+        at = np.cumsum(keep, dtype=np.int64 if len(keep) > 1 << 31 else np.int32)  # kept bytes up to and with this one
         buf = np.where(space, np.uint8(32), joined)[keep]
         self.end = np.flatnonzero(buf == 32)
         self.start = np.empty_like(self.end)
@@ -200,8 +210,8 @@ def grams(buf: np.ndarray, k: int) -> np.ndarray:
     """Scrambled hashes of the k bytes from each place on that has so many."""
     n = max(0, len(buf) - k + 1)
     out = np.empty(n, np.uint64)
-    for lo in range(0, n, BLOCK // 4):
-        m = min(BLOCK // 4, n - lo)
+    for lo in range(0, n, BLOCK):
+        m = min(BLOCK, n - lo)
         sums = np.zeros(m + k, np.uint64)
         np.cumsum((buf[lo : lo + m + k - 1].astype(np.uint64) + np.uint64(1)) * _power(_P, m + k - 1), out=sums[1:])
         out[lo : lo + m] = mixed((sums[k:] - sums[:-k]) * _power(_P_INV, m))
