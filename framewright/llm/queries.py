@@ -77,4 +77,64 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE: dict[str, str] = {}
+# ---------------------------------------------------------------- the same in DuckDB's SQL, where it can express them
+
+_WORDS = r"regexp_extract_all({x}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _spans_sql(kind: str, pattern: str, group: int, least: int) -> str:
+    p, rank = _quoted(pattern), secret_scan.KINDS.index(kind)
+    return f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, list_sum(list_transform(gaps[:i], lambda g: length(g)))::BIGINT + coalesce(list_sum(list_transform(hits[:i - 1], lambda h: length(h))), 0)::BIGINT AS start, length(hits[i]) AS n, vals[i] AS value, source
+ FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, source, string_split_regex(text, {p}) AS gaps, regexp_extract_all(text, {p}) AS hits, regexp_extract_all(text, {p}, {group}) AS vals FROM d)) WHERE length(vals[i]) >= {least}"""
+
+
+_OP2 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, source FROM documents), raw AS (
+ {_spans_sql('assign', secret_scan.ASSIGN, 2, 6)} UNION ALL {_spans_sql('access', secret_scan.ACCESS, 0, 20)} UNION ALL {_spans_sql('hex', secret_scan.HEX, 0, 24)}
+ UNION ALL SELECT * FROM ({_spans_sql('opaque', secret_scan.OPAQUE, 0, 24)}) WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]')),
+ own AS (SELECT value, count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '-')) AS repos, count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) AS owners FROM raw GROUP BY value),
+ j AS (SELECT raw.*, (kind IN ('access', 'hex') OR regexp_matches(value, '[0-9]') AND (regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]') OR kind = 'assign' AND length(value) >= 12 AND regexp_matches(value, '[A-Za-z]'))) AND owners <= {secret_scan.MAX_OWNERS} AND repos <= {secret_scan.MAX_REPOS} AS live, kind || ':' || start || ':' || (start + n) AS said FROM raw JOIN own USING (value)),
+ s AS (SELECT * FROM j WHERE kind <> 'opaque' OR live)
+ SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, sha256(coalesce(string_agg(said, ',' ORDER BY start, rank) FILTER (kind <> 'opaque'), '')) AS base_sha256,
+ coalesce(string_agg(said, ',' ORDER BY start, rank), '') AS spans, count(*) FILTER (live) AS n_live FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+_OP3 = f"""WITH d AS (SELECT doc_id, {_WORDS.format(x="coalesce(text, '')")} AS w FROM documents),
+ g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+ f AS (SELECT g, min(doc_id) AS least FROM g GROUP BY g HAVING count(*) > 1),
+ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM g JOIN f USING (g) WHERE least < doc_id),
+ x AS (SELECT doc_id, w, list_sort(coalesce((SELECT list(i) FROM gone WHERE gone.doc_id = d.doc_id), [])) AS gone FROM d)
+ SELECT doc_id, len(w) AS n_words, len(gone) AS n_removed, sha256(array_to_string(list_filter(w, lambda v, i: NOT list_contains(gone, i)), ' ')) AS kept_sha256 FROM x"""
+
+_SHINGLES = """{name} AS (SELECT {id} AS id, w, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS g FROM {table})"""
+
+_OP6 = f"""WITH d AS (SELECT doc_id, {_WORDS.format(x=_LOWER.format(x="coalesce(text, '')"))} AS w FROM documents), b AS (SELECT item_id, {_WORDS.format(x=_LOWER.format(x="coalesce(text, '')"))} AS w FROM benchmark),
+ {_SHINGLES.format(name="t", id="item_id", table="b")}, n AS (SELECT id, count(*) AS n FROM t GROUP BY id),
+ k AS (SELECT DISTINCT least(5, len(w)) AS k FROM b WHERE len(w) > 0),
+ s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, k))
+ SELECT doc_id, t.id AS item_id, count(*) AS shared, any_value(n.n) AS shingles FROM t JOIN s USING (g) JOIN n ON n.id = t.id GROUP BY doc_id, t.id HAVING count(*) >= {decontaminate.CONTAINED} * any_value(n.n)"""
+
+_OP7 = f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(x=_LOWER.format(x="coalesce(text, '')"))} AS w FROM documents), {_SHINGLES.format(name="s", id="doc_id", table="d")},
+ n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+ o AS (SELECT a.id AS a, b.id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id),
+ l AS (SELECT a, b FROM o JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+ e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+ r(id, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.m)
+ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(m) FROM r WHERE r.id = doc_id) AS component_id FROM d LEFT JOIN n ON n.id = doc_id"""
+
+_ESCAPED = f"regexp_replace({{x}}, {_quoted(chat_format._ESCAPE)}, '\\1\\\\\\2\\3', 'g')"
+_OP8 = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+ x AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS every, coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '') AS loss,
+ sum({len(chat_format.TURN) + len(chat_format.END) + 2} + length({_ESCAPED.format(x="role")}) + length({_ESCAPED.format(x="text")})) AS size FROM c GROUP BY conv_id)
+ SELECT conv_id, n_turns, sha256(every) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, size::BIGINT AS formatted_chars FROM x"""
+
+_OP9 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+#: None for tokens, bytes, sampling by hash and a trained model: see the tests for these.
+ORACLE: dict[str, str] = {"op2_secret_scan": _OP2, "op3_substring_dedup": _OP3, "op6_decontaminate": _OP6, "op7_ngram_join": _OP7, "op8_chat_format": _OP8, "op9_top_k": _OP9}

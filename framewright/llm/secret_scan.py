@@ -3,8 +3,8 @@
 1. Each text is scanned once for each kind; the spans come from the gaps between matches, so they need no Python.
 2. The secret value of each candidate is hashed; for each hash the distinct repositories and the distinct owners in the
    whole corpus are counted, after pre-aggregation on the map side.
-3. A value that many owners hold is a copied example; a value of one owner that looks random is owner-specific and taken
-   for live.  ``opaque`` candidates (long mixed strings that no base pattern covers) become spans only if they are so.
+3. A value that more than a few owners hold is a copied example; a value of few owners that looks random is specific to
+   them and taken for live.  ``opaque`` candidates (long mixed strings that no base pattern covers) become spans only if they are so.
 
 Defined results: null text is empty and has no spans; a null repository or owner counts as one value of its own; repeated
 rows each get the row's result; an empty table gives an empty table; clashing further columns are not looked at.
@@ -28,7 +28,7 @@ _ACCESS_LONG = r"AKIA[A-Z0-9]{16,}"
 _HEX_LONG = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "opaque")
 #: Values held by more owners, or more repositories of one owner, than this are widely copied.
-MAX_OWNERS = 1
+MAX_OWNERS = 2
 MAX_REPOS = 20
 
 
@@ -59,6 +59,12 @@ def _mixed(value: Column) -> Column:
     return value.rlike("[0-9]") & value.rlike("[A-Z]") & value.rlike("[a-z]")
 
 
+def _random(kind: Column, value: Column) -> Column:
+    """Whether a value looks generated: keys and long hex do, mixed ones do, and long assigned ones of letters and digits."""
+    assigned = (kind == "assign") & (F.length(value) >= 12) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    return kind.isin("access", "hex") | _mixed(value) | assigned
+
+
 def candidates(text: Column) -> Column:
     """All candidate spans of a text, by start, then kind as listed."""
     base = [_found(text, "assign", ASSIGN, 2, 6), _found(text, "access", _ACCESS_LONG), _found(text, "hex", _HEX_LONG)]
@@ -82,13 +88,13 @@ def secret_scan(docs: DataFrame, key: str = "doc_id", repo: str = "doc_id", owne
 
     ``spans`` is an array of struct(start, end, kind, value_sha256, n_repos, n_owners, live), by start, then kind; starts
     and ends are code points of the text.  ``live``: held by at most ``max_owners`` owners and ``max_repos`` repositories,
-    and mixed, or a long hex or access key.  Spans of the kind ``opaque`` are there only if live.
+    and random to look at.  Spans of the kind ``opaque`` are there only if live.
     """
     text = text_of()
     scanned = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_text"), F.col(repo).alias("repo"), F.col(owner).alias("owner"), candidates(text).alias("c"))
     hit = written(
         scanned.filter(F.size("c") > 0).select("_key", "_text", "repo", "owner", F.posexplode("c").alias("pos", "x"))
-        .select("_key", "_text", "repo", "owner", "pos", "x.start", "x.end", "x.kind", "x.rank", F.sha2("x.value", 256).alias("hash"), (_mixed(F.col("x.value")) | F.col("x.kind").isin("access", "hex")).alias("random")),
+        .select("_key", "_text", "repo", "owner", "pos", "x.start", "x.end", "x.kind", "x.rank", F.sha2("x.value", 256).alias("hash"), _random(F.col("x.kind"), F.col("x.value")).alias("random")),
         "secret-candidates",
     )
     live = F.col("random") & (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)

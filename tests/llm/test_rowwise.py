@@ -101,7 +101,7 @@ def test_secrets_odd_texts(docs_of):
 
 def test_secrets_ownership(docs_of):
     live, copied = "Zx9" + "qW7rT2yU4iO6pA8s" * 2, "Ab1" + "cD2eF3gH4iJ5kL6m" * 2
-    rows = [(1, f"key {live}.", "en", "a"), (2, f"key {copied}", "en", "a"), (3, f"key {copied}", "en", None), (4, f"password={live}", "en", "a"), (4, f"password={live}", "en", "a"), (5, "clean", None, None)]
+    rows = [(1, f"key {live}.", "en", "a"), (2, f"key {copied}", "en", "a"), (3, f"key {copied}", "en", None), (6, f"key {copied}", "en", "b"), (4, f"password={live}", "en", "a"), (4, f"password={live}", "en", "a"), (5, "clean", None, None)]
     docs = docs_of(rows)
     scanned = secret_scan.secret_scan(docs)
     got = defaultdict(list)
@@ -265,3 +265,21 @@ def test_language_id_edges(docs_of, documents):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
     assert language_id.language_id(docs_of([])).count() == 0
     assert {r["lang_pred"] for r in language_id.language_id(docs_of([(1, "words", None)])).collect()} == {"und"}
+
+
+# ------------------------------------------------------------------ every query that SQL can express
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_against_sql(spark, name):
+    import glob
+    import os
+
+    import duckdb
+
+    con = duckdb.connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    got, want = queries.QUERIES[name](spark, SF).toPandas(), con.sql(queries.ORACLE[name]).df()
+    plain = lambda df: sorted(tuple(map(str, r)) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
+    assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
