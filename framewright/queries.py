@@ -648,3 +648,51 @@ def e5_embedded_references(spark, sf):
 def e5_unused_files(spark, sf):
     pages = table(spark, sf, "pages")
     return frames.unused(pages.select(F.col("url").alias("name")), frames.embedded(pages, 'href="([^"]+)"', "html"))
+
+
+# ---------------------------------------------------------------- more of the store and the parsers
+
+
+@query("SELECT c_custkey AS video_id, c_name AS title FROM customer WHERE c_custkey = 7")
+def s12_get_video(spark, sf):
+    """A point lookup."""
+    return frames.videos(table(spark, sf, "customer").select(F.col("c_custkey").alias("video_id"), F.col("c_name").alias("title")), 7)
+
+
+@query(with_(FR) + "SELECT video_id, chapter_number, frame_number FROM fr WHERE chapter_number = 3 AND is_kept")
+def s14_frames_by_chapter(spark, sf):
+    """One chapter number of every video, kept frames only."""
+    return frames.frames_of(all_frames(spark, sf).filter("chapter_number = 3"), True).select("video_id", "chapter_number", "frame_number")
+
+
+@query(with_(CH) + "SELECT video_id, chapter_number, title FROM ch")
+def s15_chapters(spark, sf):
+    return frames.chapters_of(all_chapters(spark, sf)).select("video_id", "chapter_number", "title")
+
+
+@query(with_(FR) + "SELECT frame_number, density, true AS is_slide FROM fr")
+def k3_added_column(spark, sf):
+    """A column that older tables lack gets its default; one that is there stays."""
+    f = all_frames(spark, sf).select("frame_number", "density")
+    return frames.with_column(frames.with_column(f, "is_slide", True), "density", "none")
+
+
+@query(with_(FR) + "SELECT video_id, chapter_number, count(*) AS frames, count(*) FILTER (ocr_text IS NOT NULL) AS with_text, min(timestamp) AS first, max(timestamp) AS last FROM fr GROUP BY video_id, chapter_number")
+def a7_a10_frame_counts(spark, sf):
+    f = all_frames(spark, sf)
+    return f.groupBy("video_id", "chapter_number").agg(F.count("*").alias("frames"), F.count("ocr_text").alias("with_text"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+
+
+@query("SELECT event_id, ((event_id % 3) * 3600 + (event_id % 60) * 60 + (event_id % 7))::DOUBLE + 0.5::DOUBLE AS sec FROM events")
+def x3_strict_seconds(spark, sf):
+    n = F.col("event_id")
+    text = F.format_string("%d:%02d:%02d.5", n % 3, n % 60, n % 7)
+    return table(spark, sf, "events").select("event_id", scalars.seconds(text, strict=True).alias("sec"))
+
+
+@query(with_(EV) + ", o AS (SELECT user_id AS video_id, min((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / CAST(3.6e9 AS DOUBLE)) AS t FROM events GROUP BY user_id) SELECT video_id, CASE WHEN video_id % 2 = 0 THEN 'own' ELSE 'Part 1' END AS title, CASE WHEN video_id % 2 = 0 THEN t ELSE 0.0::DOUBLE END AS start_time FROM o")
+def f7_own_or_synthetic(spark, sf):
+    """Videos with chapters keep them; the others get one part."""
+    e = events(spark, sf).groupBy("video_id").agg(F.min("t").alias("start_time"))
+    own = e.filter("video_id % 2 = 0").select("video_id", F.lit(0).alias("chapter_number"), F.lit("own").alias("title"), "start_time", F.lit(720.0).alias("end_time"), F.lit(False).alias("is_synthetic"))
+    return timeline.chapters_or_synthetic(all_videos(spark, sf), own).select("video_id", "title", "start_time")
