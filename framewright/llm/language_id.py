@@ -21,10 +21,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, text_of
+from .common import fresh, lean, text_of
 
-DIM = 1 << 12
-PER_LANG, MAX_ROWS = 1000, 8000
+DIM = 1 << 11
+PER_LANG, MAX_ROWS = 500, 4000
 #: Families of languages by code; a code that is not here is a family of its own.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "is", "lb", "nb", "nl", "nn", "no", "sv"),
@@ -140,6 +140,7 @@ def predicted(docs: DataFrame, model: Model | None, columns: list[str], dim: int
 
     @F.pandas_udf(result)
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        lean()
         m = shared.value
         for texts in batches:
             yield pd.DataFrame([(UND, 0.0) if m is None or t is None else m.predict(features(t, dim)) for t in texts], columns=["lang_pred", "score"]).astype({"lang_pred": object, "score": float})
