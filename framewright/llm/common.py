@@ -7,8 +7,11 @@ partition is either a DataFrame row or a byte block of bounded size; see ``excha
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -46,9 +49,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def released(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of what is no longer used, which it does once the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of what is no longer used, which it does once the driver collects its garbage.
+
+    Twice, as the first collection frees what Python held, the second what that had held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def lean() -> None:
+    """Makes this worker return large arrays to the system when they are freed, so that one task's don't add to the next's.
+
+    The C library otherwise keeps what is freed for later, in pieces that later arrays don't fit.
+    """
+    import pyarrow as pa
+
+    global _lean
+    if not _lean:
+        _lean = True
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            libc = ctypes.CDLL(None)
+            libc.mallopt(-3, 1 << 20)  # arrays of 1 MB and more have pages of their own
+            libc.mallopt(-1, 1 << 20)
+    pa.default_memory_pool().release_unused()
+
+
+_lean = False
 
 
 def clean_up(spark: SparkSession) -> None:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, fresh, mixed, shingles
+from .common import Words, fresh, lean, mixed, shingles
 from .exchange import with_text
 
 K = 5
@@ -118,6 +118,7 @@ def _find(shared, contained: float):
                 yield ids[d], hashes[d], items.ids[i], o, len(items.sets[i])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         items = shared.value
         for batch in batches:
             out: list[tuple] = []

@@ -8,12 +8,15 @@ Within a chunk each distinct item is sent once, for its first occurrence in orde
 the others in a block of its own.  So an item that a third of all documents hold arrives as one entry a chunk, and no
 bucket holds more of it than that.
 
-Block sizes: a chunk has about ``CHUNK`` items, or one document's; a bucket about ``BUCKET``, as the number of buckets
-follows the corpus.  Only counts and sizes reach the driver.
+Block sizes: a chunk has about ``CHUNK_BYTES`` of text, or one document; a bucket about ``BUCKET`` items, as the number of
+buckets follows the corpus.  Both fit workers of 400 MB.  A block has chunk times bucket by corpus items, so the larger
+the corpus, the larger workers should be: ``spark.framewright.chunkBytes`` and ``spark.framewright.bucketItems`` raise
+both (at 100 TB, 64 MB and 32 million, for workers of 3 GB).  Only counts and sizes reach the driver.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -22,14 +25,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 20
+from .common import lean
+
 #: Bytes of text gathered for a chunk at most, unless one document has more.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 BUCKET = 1 << 21
-SELF = -1
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -86,13 +89,15 @@ class Plan:
 
     bits: int
     width: int
+    chunk_bytes: int = CHUNK_BYTES
 
     @classmethod
-    def of(cls, items: int) -> Plan:
-        bits = max(4, (max(items, 1) // BUCKET).bit_length())
-        # so many bits in all that two different items among so many share them with a chance below one in a hundred
-        need = 2 * max(items, 2).bit_length() + 7
-        return cls(bits, min(8, max(4, -(-(need - bits) // 8))))
+    def of(cls, items: int, spark: SparkSession | None = None, spare: int = 7) -> Plan:
+        conf = lambda key, default: int(spark.conf.get(f"spark.framewright.{key}", str(default))) if spark else default
+        bits = max(4, (max(items, 1) // conf("bucketItems", BUCKET)).bit_length())
+        # with 7 bits to spare, two different items among so many share all bits with a chance below one in a hundred
+        need = 2 * max(items, 2).bit_length() + spare
+        return cls(bits, min(8, max(4, -(-(need - bits) // 8))), conf("chunkBytes", CHUNK_BYTES))
 
     @property
     def buckets(self) -> int:
@@ -173,48 +178,60 @@ def first_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return heads, rep
 
 
-def blocks(plan: Plan, chunk: int, docs: Docs, position: np.ndarray, h: np.ndarray, counts: bool = False, group: np.ndarray | None = None) -> Iterator[tuple[int, int, bytes]]:
+def blocks(plan: Plan, chunk: int, docs: Docs, position: np.ndarray, h: np.ndarray, times: np.ndarray | bool = False, places: bool = True, kind: int = 0) -> Iterator[tuple[int, int, bytes]]:
     """(bucket, chunk, block) rows of one chunk: the buckets' entries, then the chunk's own block.
 
-    ``position`` (ascending) and ``h`` are the items.  A block has the entries' positions and keys, the ids, first positions and tags of their documents, each entry's document among these, and
-    with ``counts`` how often the chunk has each item.  With ``group``, items are dealt and keyed by that hash, and their own
-    follows.  The own block has the documents and, for each item that is no first
+    ``position`` (ascending) and ``h`` are the items.  A block has the entries' positions and keys; with ``places`` the
+    ids, first positions and tags of their documents and each entry's document among these, else four empty arrays; a
+    number for each, from ``times`` or, if that is True, how often the chunk has the item; and ``kind``, which tells apart
+    the items that one chunk sends of two sorts.  The own block has the documents and, for each item that is no first
     occurrence, (position, position of the first).
     """
     heads, rep = first_of(h)
     heads.sort()
-    bucket, key = plan.keys((h if group is None else group)[heads])
-    times = np.bincount(rep, minlength=len(h)) if counts else None
+    bucket, key = plan.keys(h[heads])
+    if times is True:
+        times = np.bincount(rep, minlength=len(h))
     order = np.argsort(bucket, kind="stable")  # within a bucket by position
     cuts = np.searchsorted(bucket[order], np.arange(plan.buckets + 1))
+    none = np.zeros(0, np.int64)
     for b in np.flatnonzero(np.diff(cuts)):
         at = order[cuts[b] : cuts[b + 1]]
         i = heads[at]
         p = position[i]
-        d = docs.of(p)
-        used, which = np.unique(d, return_inverse=True)
-        yield int(b), chunk, pack(p, plan.narrow(key[at]), docs.ids[used], docs.first[used], docs.tag[used], which, *([times[i]] if counts else ()), *([h[i].view("V8")] if group is not None else ()))
+        who = (none,) * 4
+        if places:
+            used, which = np.unique(docs.of(p), return_inverse=True)
+            who = (docs.ids[used], docs.first[used], docs.tag[used], which)
+        yield int(b), chunk, pack(p, plan.narrow(key[at]), *who, none if times is False else times[i], np.array([kind]))
     other = np.flatnonzero(rep != np.arange(len(h)))
-    yield chunk % plan.buckets, chunk, b"S" + pack(docs.ids, docs.text_hash, docs.first, position[other], position[rep[other]])
+    yield chunk % plan.buckets, chunk, OWN[kind] + pack(docs.ids, docs.text_hash, docs.first, position[other], position[rep[other]])
+
+
+#: First bytes of a chunk's own blocks, by kind; other blocks begin with a small number.
+OWN = (b"S", b"T")
 
 
 def exchange(docs: DataFrame, plan: Plan, emit: Callable, answer: Callable, gather: Callable, schema: str) -> DataFrame:
-    """Runs the exchange over ``docs(doc_id, text_hash, text)``.
+    """Runs the exchange over ``docs(doc_id, text_hash, text)``, which should be read from a table.
+
+    A chunk is told by its documents, so should rows come in another order when a lost task is done again, the exchange
+    fails and says so; a scan's rows don't.
 
     ``emit(plan, chunk, ids, hashes, texts)`` yields a chunk's rows by :func:`blocks`; ``answer(plan, bucket, blocks)`` gets the entry
     blocks of a bucket as lists of arrays and yields a block for each, or None; ``gather(docs, own, answers)`` yields
-    record batches of ``schema`` for a chunk from its documents, its own pairs and the answers' arrays.
+    record batches of ``schema`` for a chunk from its documents, its own pairs (of each kind) and the answers' arrays.
     """
-    if plan.buckets > 1 << 16:
-        raise ValueError("too many buckets")
     row = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("block", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         task = TaskContext.get()
-        for i, (ids, hashes, texts) in enumerate(chunks(batches)):
+        for i, (ids, hashes, texts) in enumerate(chunks(batches, plan.chunk_bytes)):
             rows, size = ([], [], []), 0
-            # the same in every attempt of the task, as a lost executor's work is done again
-            for r in emit(plan, (task.partitionId() << 32) + i, ids, hashes, texts):
+            # the same in every attempt of the task, as a lost executor's work is done again; of another chunk, another
+            who = hashlib.blake2b(ids.tobytes() + hashes.tobytes() + struct.pack("<qq", task.partitionId(), i), digest_size=8)
+            for r in emit(plan, int.from_bytes(who.digest(), "little") >> 2, ids, hashes, texts):
                 for col, v in zip(rows, r):
                     col.append(v)
                 size += len(r[2])
@@ -225,18 +242,23 @@ def exchange(docs: DataFrame, plan: Plan, emit: Callable, answer: Callable, gath
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(rows, row)], schema=row)
 
     def respond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for bucket, chunk, got in grouped(batches, "bucket"):
-            own = [(c, b) for c, b in zip(chunk, got) if b[:1] == b"S"]
-            sent = [(c, unpack(b)) for c, b in zip(chunk, got) if b[:1] != b"S"]
+            own = [(c, b) for c, b in zip(chunk, got) if b[:1] in OWN]
+            sent = [(c, unpack(b)) for c, b in zip(chunk, got) if b[:1] not in OWN]
             out = own + [(c, b) for (c, _), b in zip(sent, answer(plan, bucket, [x for _, x in sent])) if b is not None] if sent else own
             for i in range(0, len(out), 256):
                 part = out[i : i + 256]
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in part], pa.int64()), pa.array([b for _, b in part], pa.binary())], names=["chunk", "block"])
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for _, _, got in grouped(batches, "chunk"):
-            own = unpack(next(b for b in got if b[:1] == b"S")[1:])
-            yield from gather(Docs(*own[:3]), own[3:], [unpack(b) for b in got if b[:1] != b"S"])
+            mine = sorted(b for b in got if b[:1] in OWN)
+            if not mine:
+                raise RuntimeError("the rows came in another order when they were read again: write the table before the exchange")
+            own = unpack(mine[0][1:]) + [x for b in mine[1:] for x in unpack(b[1:])[3:]]
+            yield from gather(Docs(*own[:3]), own[3:], [unpack(b) for b in got if b[:1] not in OWN])
 
     n = dealt_to(docs.sparkSession, plan)
     sent = docs.mapInArrow(send, "bucket int, chunk long, block binary")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, fresh, shingles, written
+from .common import Words, fresh, lean, released, shingles, written
 from .exchange import NO_ID, Docs, Plan, blocks, exchange, pack, unpack, with_text
 from .graph import components
 
@@ -54,7 +54,7 @@ def _sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
 def _emit(k: int):
     def emit(plan: Plan, chunk: int, ids: np.ndarray, hashes: np.ndarray, texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
         first, h = _sets(texts, k)
-        return blocks(plan, chunk, Docs(ids, hashes, first), np.arange(len(h)), h, counts=True)
+        return blocks(plan, chunk, Docs(ids, hashes, first), np.arange(len(h)), h, times=True, places=False)
 
     return emit
 
@@ -126,6 +126,7 @@ def _least(n: int, percent: int) -> int:
 
 def _postings(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             tokens, nodes = [], []
             for node, n, t in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("tokens").to_pylist()):
@@ -227,6 +228,7 @@ def _join(percent: int):
         return [rows[a]["node"] for a, _ in links], [rows[b]["node"] for _, b in links]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         key, rows = None, []
         a: list[bytes] = []
         b: list[bytes] = []
@@ -281,8 +283,11 @@ def ngram_join(docs: DataFrame, k: int = K, percent: int = 75, group: int = GROU
     Two documents link if 100 * |x & y| >= percent * |x | y| for their sets of distinct lower-cased k-word shingles.
     """
     rows = with_text(docs)
-    plan = Plan.of((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 5)
+    # a few shingles of the whole corpus may share a key: their counts are too high then, which moves them in the order of
+    # shingles and no more; that two sets to be compared hold such a pair takes a chance of some in 2 ** 40
+    plan = Plan.of((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 5, docs.sparkSession, spare=-2)
     sets = written(exchange(rows, plan, _emit(k), _counted, _candidates(percent), "doc_id long, node binary, n long, set binary, tokens binary"), "sets")
+    released(docs.sparkSession)
     some = sets.filter(F.col("set").isNotNull())
     reps = written(some.groupBy("set").agg(F.min_by(F.struct("node", "n", "tokens"), F.coalesce("doc_id", F.lit(NO_ID))).alias("r"), F.min("doc_id").alias("least")).select("set", "least", "r.*"), "classes")
     roots = components(links(reps, percent, group))

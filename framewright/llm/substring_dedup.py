@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, written
+from .common import Words, lean, released, written
 from .exchange import NO_ID, Docs, Plan, blocks, exchange, groups, pack, with_text
 
 K = 13
-_PATHS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("src", pa.list_(pa.int64())), ("src_start", pa.list_(pa.int32()))])
+_PATHS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("src", pa.list_(pa.int64())), ("src_tag", pa.list_(pa.int32())), ("src_start", pa.list_(pa.int32()))])
 
 
 def _emit(k: int):
@@ -88,20 +88,20 @@ def _paths(docs: Docs, own: list[np.ndarray], answers: list[list[np.ndarray]]) -
     d = doc[head]
     which, first = np.unique(d, return_index=True)
     offsets = pa.array(np.append(first, len(head)).astype(np.int32))
-    lists = [at[head] - docs.first[d], size, src[at[head]], place[at[head]]]
+    lists = [at[head] - docs.first[d], size, src[at[head]], tag[at[head]], place[at[head]]]
     cols = [pa.ListArray.from_arrays(offsets, pa.array(x, t.type.value_type)) for x, t in zip(lists, list(_PATHS)[2:])]
     yield pa.RecordBatch.from_arrays([pa.array(docs.ids[which]), pa.array(docs.text_hash[which]), *cols], schema=_PATHS)
 
 
 def repeated_paths(docs: DataFrame, plan: Plan, k: int) -> DataFrame:
-    """``doc_id, text_hash, start, n, src, src_start`` (arrays: n edges each) of documents that repeat earlier ones."""
-    return exchange(docs, plan, _emit(k), sources, _paths, "doc_id long, text_hash long, start array<int>, n array<int>, src array<long>, src_start array<int>")
+    """``doc_id, text_hash, start, n, src, src_tag, src_start`` (arrays: n edges each) of documents that repeat earlier ones."""
+    return exchange(docs, plan, _emit(k), sources, _paths, "doc_id long, text_hash long, start array<int>, n array<int>, src array<long>, src_tag array<int>, src_start array<int>")
 
 
-_OUT = "doc_id long, text_hash long, n_words long, n_removed long, kept_sha256 string, kept string, checks array<struct<src:long,start:int,n:int,digest:binary>>, asked array<struct<start:int,n:int,digest:binary>>"
+_OUT = "doc_id long, text_hash long, n_words long, n_removed long, kept_sha256 string, kept string, checks array<struct<src:long,tag:int,start:int,n:int,digest:binary>>, asked array<struct<start:int,n:int,digest:binary>>"
 _OUT_ARROW = pa.schema(
     [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())]
-    + [("checks", pa.list_(pa.struct([("src", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("digest", pa.binary())]))), ("asked", pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("digest", pa.binary())])))]
+    + [("checks", pa.list_(pa.struct([("src", pa.int64()), ("tag", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("digest", pa.binary())]))), ("asked", pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("digest", pa.binary())])))]
 )
 
 
@@ -113,6 +113,7 @@ def _resolve(k: int, texts: bool):
         return hashlib.blake2b(w.buf[w.start[start] : w.end[last]].tobytes(), digest_size=16).digest() if last < len(w) else b""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             rows = []
             col = {n: batch.column(n) for n in batch.schema.names}
@@ -130,7 +131,7 @@ def _resolve(k: int, texts: bool):
                     kept = w.buf[marks].tobytes()[:-1]
                 else:
                     kept = w.buf[: int(w.end[-1])].tobytes() if len(w) else b""
-                checks = [{"src": s, "start": p, "n": m, "digest": digest(w, a, m)} for a, m, s, p in zip(start, n, col["src"][i].as_py() or [], col["src_start"][i].as_py() or [])]
+                checks = [{"src": s, "tag": g, "start": p, "n": m, "digest": digest(w, a, m)} for a, m, s, g, p in zip(start, n, *(col[c][i].as_py() or [] for c in ("src", "src_tag", "src_start")))]
                 asked = [{"start": x["start"], "n": x["n"], "digest": digest(w, x["start"], x["n"])} for x in col["ask"][i].as_py() or []]
                 rows.append((col["doc_id"][i].as_py(), col["text_hash"][i].as_py(), len(w), int((~keep).sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if texts else None, checks, asked))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [[]] * 8, _OUT_ARROW)], schema=_OUT_ARROW)
@@ -145,23 +146,24 @@ def substring_dedup(docs: DataFrame, k: int = K, texts: bool = False, width: int
     """
     rows = with_text(docs)
     count = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    plan = Plan.of(count // 5)
+    plan = Plan.of(count // 5, docs.sparkSession)
     if width:
         plan.width = width
     paths = written(repeated_paths(rows, plan, k), "paths")
-    asked = paths.select(F.explode(F.arrays_zip("src", F.col("src_start").alias("start"), "n")).alias("x")).select("x.*").distinct()
-    ask = asked.groupBy(F.col("src").alias("_src")).agg(F.collect_list(F.struct("start", "n")).alias("ask"))
-    own = paths.withColumnsRenamed({"doc_id": "_d", "text_hash": "_h"}).dropDuplicates(["_d", "_h"])
-    request = own.select("_d", F.struct("_h", "start", "n", "src", "src_start").alias("own"), F.lit(None).cast(ask.schema["ask"].dataType).alias("ask")).unionByName(ask.select(F.col("_src").alias("_d"), F.lit(None).cast("struct<_h:bigint,start:array<int>,n:array<int>,src:array<bigint>,src_start:array<int>>").alias("own"), "ask"))
-    request = request.groupBy("_d").agg(F.collect_list("own").alias("owns"), F.first("ask", True).alias("ask"))
-    key = F.coalesce(rows["doc_id"], F.lit(NO_ID))
-    joined = rows.join(request, key == request["_d"], "left")
-    # of documents of one id, each takes the paths of its own text
-    joined = joined.withColumn("own", F.when(F.size("owns") > 0, F.try_element_at(F.filter("owns", lambda o: o["_h"] == F.col("text_hash")), F.lit(1))))
-    out = written(joined.select("doc_id", "text_hash", "text", "own.start", "own.n", "own.src", "own.src_start", "ask").mapInArrow(_resolve(k, texts), _OUT), "resolved")
+    released(docs.sparkSession)
+    tag = lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")  # noqa: E731  as Docs.tag
+    # what each text is asked for: its own paths, and the spans that are sources of others
+    asked = paths.select(F.explode(F.arrays_zip("src", "src_tag", F.col("src_start").alias("start"), "n")).alias("x")).select("x.*").distinct()
+    ask = asked.groupBy(F.col("src").alias("_d"), F.col("src_tag").alias("_t")).agg(F.collect_list(F.struct("start", "n")).alias("ask"))
+    own = paths.select(F.col("doc_id").alias("_d"), tag(F.col("text_hash")).alias("_t"), F.struct("start", "n", "src", "src_tag", "src_start").alias("own"))
+    request = own.withColumn("ask", F.lit(None).cast(ask.schema["ask"].dataType)).unionByName(ask.withColumn("own", F.lit(None).cast(own.schema["own"].dataType)))
+    request = request.groupBy("_d", "_t").agg(F.first("own", True).alias("own"), F.first("ask", True).alias("ask"))
+    keyed = rows.withColumns({"_d": F.coalesce("doc_id", F.lit(NO_ID)), "_t": tag(F.col("text_hash"))})
+    joined = keyed.join(request, ["_d", "_t"], "left")
+    out = written(joined.select("doc_id", "text_hash", "text", "own.start", "own.n", "own.src", "own.src_tag", "own.src_start", "ask").mapInArrow(_resolve(k, texts), _OUT), "resolved")
     checks = out.select(F.explode("checks").alias("c")).select("c.*").distinct()
-    found = out.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("src"), F.explode("asked").alias("a")).select("src", "a.*").distinct()
-    failed = checks.join(found, ["src", "start", "n", "digest"], "left_anti")
+    found = out.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("src"), tag(F.col("text_hash")).alias("tag"), F.explode("asked").alias("a")).select("src", "tag", "a.*").distinct()
+    failed = checks.join(found, ["src", "tag", "start", "n", "digest"], "left_anti")
     if plan.width < 8 and not failed.isEmpty():
         return substring_dedup(docs, k, texts, 8)
     if not failed.isEmpty():

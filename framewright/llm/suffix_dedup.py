@@ -5,9 +5,9 @@ hundreds of times, so suffixes are sampled where their content says so, and only
 
 1. Anchors.  In each string of ``size`` bytes the place whose ``GRAM`` bytes hash lowest is an anchor.  Equal strings have
    their anchor at the same place, so every repeat of that length shows at an anchor; about one place in 170 is one.
-2. Distinguishing prefixes.  Anchors meet by their gram's hash (:mod:`exchange`).  One whose gram is nowhere else has no
-   repeat.  One whose whole context (all strings of that length around it) is elsewhere too is repeated throughout.  Only
-   the others, and one witness of each repeated context among them, have suffixes to be sorted.
+2. Distinguishing prefixes.  Anchors meet by the hashes of their gram and of their whole context, all strings of that
+   length around it (:mod:`exchange`).  One whose gram is nowhere else has no repeat.  One whose context is elsewhere too is
+   repeated throughout.  Only the others, and one witness of each repeated context among them, have suffixes to be sorted.
 3. Each task sorts its suffixes to runs and front-codes them: each sends its length shared with the one before and the
    rest.  The runs of a range of grams meet in one task, and a loser tree that keeps each head's common prefix with the
    last winner merges them: heads with different common prefixes are decided without a look at a byte, heads with equal
@@ -24,19 +24,24 @@ repeats in one document count; an empty table gives an empty table; further colu
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import grams, sliding_min, spans_hash, written
-from .exchange import NO_ID, Docs, Plan, blocks, dealt_to, exchange, pack, unpack, with_text
+from .common import grams, lean, released, sliding_min, spans_hash, written
+from .exchange import NO_ID, Docs, Plan, blocks, dealt_to, exchange, first_of, pack, unpack, with_text
 
 SIZE = 400
 GRAM = 64
 SINGLE, FULL, WITNESS = 1, 2, 3
+#: Added to the status of anchors whose gram has too many suffixes for one task.
+HOT = 8
+#: Suffixes of one gram that meet in one task, at most.
+MOST = 50_000
 #: Texts of which anchors are computed at once.
 _PART = 1 << 20
 #: Bytes of contexts in one sorted run.
@@ -72,58 +77,128 @@ def _emit(size: int, k: int):
         first = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         at, gram = anchors(buf, first, size, k)
         docs = Docs(ids, hashes, first)
+        if not len(at):
+            yield from blocks(plan, chunk, docs, at, gram, places=False)
+            yield from blocks(plan, chunk, docs, at, gram, places=False, kind=1)
+            return
         d = docs.of(at)
         lo, hi = np.maximum(at - (size - k), first[d]), np.minimum(at + size, first[d + 1])
         context = spans_hash(buf, lo, hi) ^ ((at - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        return blocks(plan, chunk, docs, at, context, counts=True, group=gram)
+        # of each gram, how many contexts the chunk has
+        kinds = np.bincount(first_of(gram)[1][first_of(context)[0]], minlength=len(at))
+        yield from blocks(plan, chunk, docs, at, context, times=True, places=False)
+        yield from blocks(plan, chunk, docs, at, gram, times=kinds, places=False, kind=1)
 
     return emit
 
 
-def _statuses(plan: Plan, bucket: int, sent: list[list[np.ndarray]]) -> Iterator[bytes | None]:
-    """For each chunk's anchors whose gram is elsewhere too: (place, status)."""
-    sizes = [len(x[0]) for x in sent]
-    key = np.concatenate([plan.wide(x[1]) for x in sent])
-    context = np.concatenate([np.frombuffer(x[7].tobytes(), "<u8") for x in sent])
-    times = np.concatenate([x[6] for x in sent])
-    by = np.lexsort((context, key))
-    k, c, t = key[by], context[by], times[by]
-    new_k = np.ones(len(k), bool)
-    new_k[1:] = k[1:] != k[:-1]
-    new_c = new_k.copy()
-    new_c[1:] |= c[1:] != c[:-1]
-    edge = np.flatnonzero(new_c)
-    of_c = np.cumsum(new_c) - 1
-    held = np.add.reduceat(t, edge)  # occurrences of each context
-    of_k = np.cumsum(new_k) - 1
-    kinds = np.bincount(of_k[edge])  # contexts of each gram
-    many = kinds[of_k] > 1
-    status = np.where(held[of_c] > 1, np.where(many & new_c, WITNESS, FULL), np.where(many, SINGLE, 0))
-    out = np.empty(len(k), np.int64)
-    out[by] = status
-    at = 0
-    for x, n in zip(sent, sizes):
-        s = out[at : at + n]
-        i = np.flatnonzero(s)
-        yield pack(x[0][i], s[i]) if len(i) else None
-        at += n
-
-
-_MARKED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("marks", pa.binary())])
-
-
-def _marked(docs: Docs, own: list[np.ndarray], answers: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """For each document with anchors that may repeat: (place, status)."""
-    other, _ = own
-    pos = np.concatenate([*(a[0] for a in answers), other])
-    status = np.concatenate([*(a[1] for a in answers), np.full(len(other), FULL)])
-    order = np.argsort(pos, kind="stable")
-    pos, status = pos[order].astype(np.int64), status[order].astype(np.uint8)
-    d = docs.of(pos)
-    which, cut = np.unique(d, return_index=True)
-    cut = np.append(cut, len(d))
-    marks = [pack(pos[a:b] - docs.first[i], status[a:b]) for i, a, b in zip(which, cut[:-1], cut[1:])]
-    yield pa.RecordBatch.from_arrays([pa.array(docs.ids[which]), pa.array(docs.text_hash[which]), pa.array(marks, pa.binary())], schema=_MARKED)
+def _answers(plan: Plan, bucket: int, sent: list[list[np.ndarray]]) -> Iterator[bytes | None]:
+    """For a chunk's contexts that are repeated: (0, place, whether it is the first, chunks that have it).  For its grams
+    with more than one entry: (1, place, entries), an entry being a context in a chunk.
+
+    Either costs an entry a chunk at most, however many documents hold it.
+    """
+    out: list[bytes | None] = [None] * len(sent)
+    for kind in (0, 1):
+        mine = [i for i, x in enumerate(sent) if x[7][0] == kind]
+        if not mine:
+            continue
+        key = np.concatenate([plan.wide(sent[i][1]) for i in mine])
+        times = np.concatenate([sent[i][6] for i in mine])
+        by = np.argsort(key, kind="stable")
+        new = np.ones(len(by), bool)
+        new[1:] = key[by][1:] != key[by][:-1]
+        edge = np.flatnonzero(new)
+        sizes = np.diff(np.append(edge, len(by)))
+        total, chunks, first = np.empty(len(by), np.int64), np.empty(len(by), np.int64), np.empty(len(by), bool)
+        total[by], chunks[by], first[by] = np.repeat(np.add.reduceat(times[by], edge), sizes), np.repeat(sizes, sizes), new
+        at = 0
+        for i in mine:
+            p = sent[i][0]
+            j = np.flatnonzero(total[at : at + len(p)] > 1)
+            if len(j):
+                out[i] = pack(np.array([kind]), p[j], *((first[at + j].astype(np.int64), chunks[at + j]) if kind == 0 else (total[at + j],)))
+            at += len(p)
+    yield from out
+
+
+_MARKED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("marks", pa.binary()), ("hot", pa.bool_())])
+
+
+def _marked(most: int):
+    def gather(docs: Docs, own: list[np.ndarray], answers: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """For each document with anchors that may repeat: (place, status)."""
+        context, context_rep, gram, gram_rep = own
+        at = np.unique(np.concatenate([context, gram, *(a[1] for a in answers)]))
+        if not len(at):
+            return
+        where = lambda p: np.searchsorted(at, p)
+        repeated, first, chunks, entries = np.zeros(len(at), bool), np.zeros(len(at), bool), np.ones(len(at), np.int64), np.zeros(len(at), np.int64)
+        for a in answers:
+            i = where(a[1])
+            if a[0][0] == 0:
+                repeated[i], first[i], chunks[i] = True, a[2] > 0, a[3]
+            else:
+                entries[i] = a[2]
+        told = np.isin(gram_rep, at)
+        entries[where(gram[told])] = entries[where(gram_rep[told])]
+        status = np.where(repeated, np.where(first & (entries > chunks), WITNESS, FULL), np.where(entries > 1, SINGLE, 0))
+        status[where(context)] = FULL
+        # too many suffixes of one gram to meet in one task
+        status = np.where((entries > most) & (status != FULL) & (status != 0), status + HOT, status)
+        i = np.flatnonzero(status)
+        pos, status = at[i].astype(np.int64), status[i].astype(np.uint8)
+        d = docs.of(pos)
+        which, cut = np.unique(d, return_index=True)
+        cut = np.append(cut, len(d))
+        spans = list(zip(which, cut[:-1], cut[1:]))
+        marks = [pack(pos[a:b] - docs.first[w], status[a:b]) for w, a, b in spans]
+        hot = [bool((status[a:b] > HOT).any()) for _, a, b in spans]
+        yield pa.RecordBatch.from_arrays([pa.array(docs.ids[which]), pa.array(docs.text_hash[which]), pa.array(marks, pa.binary()), pa.array(hot, pa.bool_())], schema=_MARKED)
+
+    return gather
+
+
+# ---------------------------------------------------------------- grams that very many suffixes share
+
+
+def _emit_strings(size: int, k: int):
+    """The strings of ``size`` bytes around hot anchors; a row's bytes are the length of its marks, the marks, the text."""
+
+    def emit(plan: Plan, chunk: int, ids: np.ndarray, hashes: np.ndarray, rows: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+        parts = [(r[8 : 8 + int.from_bytes(r[:8], "little")], r[8 + int.from_bytes(r[:8], "little") :]) for r in rows]
+        first = np.concatenate([[0], np.cumsum([len(t) for _, t in parts])]).astype(np.int64)
+        starts = [np.zeros(0, np.int64)]
+        for (marks, text), base in zip(parts, first):
+            at, status = unpack(marks)
+            for p in at[status > HOT].tolist():
+                starts.append(np.arange(max(0, p - (size - k)), min(p, len(text) - size) + 1) + base)
+        at = np.unique(np.concatenate(starts))
+        buf = np.frombuffer(b"".join(t for _, t in parts), np.uint8)
+        return blocks(plan, chunk, Docs(ids, hashes, first), at, spans_hash(buf, at, at + size), times=True, places=False)
+
+    return emit
+
+
+def _repeated(plan: Plan, bucket: int, sent: list[list[np.ndarray]]) -> Iterator[bytes | None]:
+    """For a chunk's strings that are elsewhere too: their places."""
+    for b in _answers(plan, bucket, sent):
+        yield None if b is None else pack(unpack(b)[1])
+
+
+def _string_spans(size: int):
+    def gather(docs: Docs, own: list[np.ndarray], answers: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        at = np.unique(np.concatenate([*(a[0] for a in answers), own[0]])).astype(np.int64)
+        d = docs.of(at)
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (d[1:] != d[:-1])
+        head = np.flatnonzero(new)
+        last = np.append(head[1:], len(at)) - 1
+        w = d[head]
+        cols = [docs.ids[w], docs.text_hash[w], at[head] - docs.first[w], at[last] - docs.first[w] + size] if len(at) else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _REACH)], schema=_REACH)
+
+    return gather
 
 
 # ---------------------------------------------------------------- sorted runs
@@ -218,6 +293,7 @@ def reaches(right: np.ndarray, lefts: list[bytes], ask: np.ndarray, size: int) -
 
     ``right[i]`` is the common prefix of the sorted members i - 1 and i; ``lefts`` are their reversed left contexts.  A
     partner counts if both sides together reach ``size``; all counting ones hold the anchor, so their union is one span.
+    Time is about linear in the members, so a passage that very many share is no worse than as many that few share.
     """
     m = len(lefts)
     if m == 2:
@@ -227,37 +303,79 @@ def reaches(right: np.ndarray, lefts: list[bytes], ask: np.ndarray, size: int) -
                 yield int(i), left, int(right[1])
         return
     order = sorted(range(m), key=lefts.__getitem__)
-    by = np.array(order)
-    rank = np.empty(m, np.int64)
-    rank[by] = np.arange(m)
-    near = np.array([0] + [common(lefts[a], lefts[b]) for a, b in zip(order, order[1:])])
-    full = 1 << 30
+    rank = [0] * m
+    for r, i in enumerate(order):
+        rank[i] = r
+    near = [0] + [common(lefts[a], lefts[b]) for a, b in zip(order, order[1:])]
+    span = _range_min(near)
+    far_left, far_right = [0] * m, [0] * m
+
+    def meet(a: int, b: int, r: int) -> None:
+        """Two neighbours by left context among suffixes that share r bytes to the right."""
+        left = span(rank[a], rank[b])
+        if left + r >= size:
+            for i in (a, b):
+                far_left[i], far_right[i] = max(far_left[i], left), max(far_right[i], r)
+
+    # Suffixes are united from the longest common prefix down.  When two sets unite, the smaller one's members find their
+    # neighbours by left context in the larger one: no other new pair can reach further on the left at this prefix.
+    sets: list[list[int]] = [[rank[i]] for i in range(m)]
+    home = list(range(m))
+
+    def find(i: int) -> int:
+        while home[i] != i:
+            home[i] = i = home[home[i]]
+        return i
+
+    for j in sorted(range(1, m), key=lambda j: -right[j]):
+        r = int(right[j])
+        a, b = find(j - 1), find(j)
+        if len(sets[a]) < len(sets[b]):
+            a, b = b, a
+        large = sets[a]
+        for x in sets[b]:
+            at = bisect_left(large, x)
+            if at:
+                meet(order[x], order[large[at - 1]], r)
+            if at < len(large):
+                meet(order[x], order[large[at]], r)
+        large += sets[b]
+        large.sort()  # two sorted runs: linear
+        sets[b] = []
+        home[b] = a
     for i in np.flatnonzero(ask):
-        r = np.full(m, full)
-        r[i + 1 :] = np.minimum.accumulate(right[i + 1 :])
-        r[:i] = np.minimum.accumulate(right[1 : i + 1][::-1])[::-1]
-        j = rank[i]
-        x = np.full(m, full)
-        x[j + 1 :] = np.minimum.accumulate(near[j + 1 :])
-        x[:j] = np.minimum.accumulate(near[1 : j + 1][::-1])[::-1]
-        left = np.empty(m, np.int64)
-        left[by] = x
-        fit = left + r >= size
-        fit[i] = False
-        if fit.any():
-            yield int(i), int(left[fit].max()), int(r[fit].max())
+        if far_right[i]:
+            yield int(i), far_left[i], far_right[i]
+
+
+def _range_min(near: list[int]) -> Callable[[int, int], int]:
+    """The least of ``near`` between two ranks, the lower one's own not included, by a sparse table."""
+    table = [np.array(near)]
+    while len(table[-1]) > 1 << (len(table) - 1):
+        t, half = table[-1], 1 << (len(table) - 1)
+        table.append(np.minimum(t[:-half], t[half:]))
+
+    def least(a: int, b: int) -> int:
+        lo, hi = (a, b) if a < b else (b, a)
+        k = (hi - lo).bit_length() - 1
+        t = table[k]
+        return min(int(t[lo + 1]), int(t[hi + 1 - (1 << k)]))
+
+    return least
 
 
 def _runs(size: int, k: int, buckets: int):
     """Sorted, front-coded runs of the suffixes to be sorted, cut by the range of their first bytes' hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         rows: list[tuple] = []
         held = 0
         for batch in batches:
             for i, h, text, marks in zip(*(batch.column(c) for c in ("doc_id", "text_hash", "text", "marks"))):
                 at, status = unpack(marks.as_buffer().to_pybytes())
-                at, status = at[status != FULL], status[status != FULL]
+                cold = (status == SINGLE) | (status == WITNESS)
+                at, status = at[cold], status[cold]
                 if not len(at):
                     continue
                 t = text.as_buffer().to_pybytes()
@@ -340,6 +458,7 @@ def _merge(size: int, k: int):
         yield from close()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         now, got, rows = None, [], []
         for batch in batches:
             for b, block in zip(batch.column("bucket").to_pylist(), batch.column("block")):
@@ -363,6 +482,7 @@ def _removed(size: int, k: int, texts: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             rows = []
             for i, text, marks, start, end in zip(*(batch.column(c) for c in ("doc_id", "text", "marks", "start", "end"))):
@@ -370,7 +490,7 @@ def _removed(size: int, k: int, texts: bool):
                 spans = list(zip(start.as_py() or [], end.as_py() or []))
                 if marks.is_valid:
                     at, status = unpack(marks.as_py())
-                    spans += [(max(0, p - (size - k)), min(len(t), p + size)) for p in at[status != SINGLE].tolist()]
+                    spans += [(max(0, p - (size - k)), min(len(t), p + size)) for p in at[(status & (HOT - 1)) != SINGLE].tolist()]
                 runs: list[list[int]] = []
                 for a, b in sorted(spans):
                     if runs and a <= runs[-1][1]:
@@ -389,27 +509,44 @@ def _removed(size: int, k: int, texts: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, texts: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, texts: bool = False, most: int = MOST) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each row of ``docs(doc_id, text)``.
 
-    With ``texts`` also ``spans``, the removed runs in bytes, and ``kept``, the bytes that remain.
+    With ``texts`` also ``spans``, the removed runs in bytes, and ``kept``, the bytes that remain.  Suffixes of a gram that
+    may have more than ``most`` of them are not sorted in one task: their strings meet by hash, one entry a chunk.
     """
     if not 8 <= gram < size:
         raise ValueError("the gram must be shorter than the string")
+    spark = docs.sparkSession
     rows = with_text(docs)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    plan = Plan.of(2 * total // (size - gram + 2))
-    marked = written(exchange(rows, plan, _emit(size, gram), _statuses, _marked, "doc_id long, text_hash long, marks binary"), "marks")
-    key = [F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_hash").alias("_h")]
-    mine = marked.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "marks")
-    keyed = rows.select(*key, "doc_id", "text")
+    plan = Plan.of(4 * total // (size - gram + 2), spark)
+    marked = written(exchange(rows, plan, _emit(size, gram), _answers, _marked(most), "doc_id long, text_hash long, marks binary, hot boolean"), "marks")
+    released(spark)
+    mine = marked.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "marks", "hot")
+    keyed = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_hash").alias("_h"), "doc_id", "text")
     suffixes = keyed.join(mine, ["_id", "_h"]).select(F.col("_id").alias("doc_id"), F.col("_h").alias("text_hash"), "text", "marks")
-    buckets = 2 * dealt_to(docs.sparkSession, plan)
+    buckets = 2 * dealt_to(spark, plan)
     runs = suffixes.mapInArrow(_runs(size, gram, buckets), "bucket int, block binary")
-    reach = runs.repartition(buckets // 2, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge(size, gram), "doc_id long, text_hash long, start int, end int")
+    kind = "doc_id long, text_hash long, start int, end int"
+    reach = runs.repartition(buckets // 2, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge(size, gram), kind)
+    hot = mine.filter("hot")
+    if not hot.isEmpty():
+        around = F.concat(F.unhex(F.rpad(F.hex(_little(F.length("marks"))), 16, "0")), "marks", F.encode("text", "utf-8"))
+        # written first: the exchange wants rows that come in the same order again
+        some = written(keyed.join(hot, ["_id", "_h"]).select(F.col("_id").alias("doc_id"), F.col("_h").alias("text_hash"), around.alias("text")), "hot")
+        by_hash = Plan.of(some.agg(F.sum(F.octet_length("text"))).first()[0] or 0, spark)
+        by_hash.chunk_bytes //= 4
+        reach = reach.unionByName(exchange(some, by_hash, _emit_strings(size, gram), _repeated, _string_spans(size), kind))
     spans = reach.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
     # rows that are equal in id and text have equal marks, but for who is whose witness: either way all is repeated
     once = mine.groupBy("_id", "_h").agg(F.min("marks").alias("marks"))
     joined = keyed.join(once.join(spans, ["_id", "_h"], "left"), ["_id", "_h"], "left").select("doc_id", "text", "marks", "start", "end")
     out = joined.mapInArrow(_removed(size, gram, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")
     return out if texts else out.drop("spans", "kept")
+
+
+def _little(n: Column) -> Column:
+    """The bytes of a number below 2 ** 32, the lowest first."""
+    byte = lambda i: F.unhex(F.lpad(F.hex(F.shiftright(n, 8 * i).bitwiseAND(F.lit(255))), 2, "0"))
+    return F.concat(*map(byte, range(4)))

@@ -70,7 +70,7 @@ def test_words_wrong_hash_is_caught(docs_of, monkeypatch):
     whole = exchange.Plan.of
     calls = []
 
-    def poor(items):
+    def poor(items, spark=None):
         p = whole(items)
         p.width = 1
         calls.append(p)
@@ -115,7 +115,10 @@ def test_bytes_small_sizes(docs_of, size, gram):
                 u[rng.randrange(len(u))] = rng.choice("abz")
         rows.append((20 + i % 100, "".join(u)))
     docs = docs_of(rows).repartition(6).withColumn("marks", F.lit(1)).withColumn("start", F.lit("x"))
-    assert tuples(suffix_dedup.suffix_dedup(docs, size, gram), B) == bytes_by_hand(rows, size)
+    want = bytes_by_hand(rows, size)
+    assert tuples(suffix_dedup.suffix_dedup(docs, size, gram), B) == want
+    # grams of more than two suffixes go by their strings' hashes
+    assert tuples(suffix_dedup.suffix_dedup(docs, size, gram, most=2), B) == want
     assert suffix_dedup.suffix_dedup(docs_of([])).count() == 0
 
 
@@ -135,3 +138,20 @@ def test_merge_of_front_coded_runs():
         want = sorted(x for r in runs for x in r)
         assert [s for _, _, s in got] == want
         assert [p for _, p, _ in got] == [suffix_dedup.common(a, b) for a, b in zip([b"", *want], want)]
+
+
+def test_reaches_of_random_groups():
+    rng = random.Random(12)
+    for _ in range(300):
+        m, size = rng.randrange(2, 30), rng.randrange(4, 12)
+        members = sorted((("z" + "".join(rng.choice("ab") for _ in range(rng.randrange(9)))).encode(), "".join(rng.choice("ab") for _ in range(rng.randrange(9))).encode()) for _ in range(m))
+        right = np.array([0] + [suffix_dedup.common(a[0], b[0]) for a, b in zip(members, members[1:])])
+        ask = np.array([rng.random() < 0.7 for _ in range(m)])
+        got = sorted(suffix_dedup.reaches(right, [x[1] for x in members], ask, size))
+        want = []
+        for i in np.flatnonzero(ask).tolist():
+            pairs = [(suffix_dedup.common(members[i][1], y[1]), suffix_dedup.common(members[i][0], y[0])) for j, y in enumerate(members) if j != i]
+            pairs = [p for p in pairs if sum(p) >= size]
+            if pairs:
+                want.append((i, max(p[0] for p in pairs), max(p[1] for p in pairs)))
+        assert got == want
