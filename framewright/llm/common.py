@@ -123,14 +123,17 @@ def text_bytes(df: DataFrame, col: str = "text") -> int:
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-#: Odd, so it has an inverse modulo 2**64.
-_P = 0x9E3779B97F4A7C15
-_P_INV = pow(_P, -1, 1 << 64)
-_powers = {_P: np.ones(1, np.uint64), _P_INV: np.ones(1, np.uint64)}
+#: Odd, so they have inverses modulo 2**64; another one makes another hash.
+_BASES = [0x9E3779B97F4A7C15 ^ (i * 0x3C6EF372FE94F82A) for i in range(8)]
+_INVERSES = [pow(p, -1, 1 << 64) for p in _BASES]
+_powers: dict[int, np.ndarray] = {}
+
+
+_powers_of_none = np.zeros(0, np.uint64)
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    have = _powers[base]
+    have = _powers.get(base, _powers_of_none)
     if len(have) < n:
         size = max(n, 1 << 16)
         have = np.full(size, base, np.uint64)
@@ -193,18 +196,22 @@ class Words:
         """A 64-bit hash of each word."""
         return spans_hash(self.buf, self.start, self.end)
 
-    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """First words of the windows of k words within one text, and the windows' hashes."""
         n = np.diff(self.first) - (k - 1)
         at = np.flatnonzero(np.repeat(n > 0, np.diff(self.first))) if len(n) else np.zeros(0, np.int64)
         if len(at):
             last = np.repeat(self.first[1:], np.diff(self.first))[at]
             at = at[at + k <= last]
-        return at, spans_hash(self.buf, self.start[at], self.end[at + k - 1])
+        return at, spans_hash(self.buf, self.start[at], self.end[at + k - 1], seed)
 
 
-def spans_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``buf[start:end]`` for many ascending, possibly overlapping spans (polynomial modulo 2**64, scrambled)."""
+def spans_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of ``buf[start:end]`` for many ascending, possibly overlapping spans (polynomial modulo 2**64, scrambled).
+
+    Another ``seed`` (0 to 7) makes another polynomial, so texts that share one hash hardly share the other.
+    """
+    base, inverse = _BASES[seed], _INVERSES[seed]
     out = np.empty(len(start), np.uint64)
     i = 0
     while i < len(start):
@@ -212,9 +219,9 @@ def spans_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
         j = max(i + 1, int(np.searchsorted(start, lo + BLOCK)))
         hi = int(end[j - 1]) if j - i == 1 else int(end[i:j].max())
         sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum((buf[lo:hi].astype(np.uint64) + np.uint64(1)) * _power(_P, hi - lo), out=sums[1:])
+        np.cumsum((buf[lo:hi].astype(np.uint64) + np.uint64(1)) * _power(base, hi - lo), out=sums[1:])
         a, b = start[i:j] - lo, end[i:j] - lo
-        out[i:j] = (sums[b] - sums[a]) * _power(_P_INV, hi - lo + 1)[a]
+        out[i:j] = (sums[b] - sums[a]) * _power(inverse, hi - lo + 1)[a]
         i = j
     # the length goes in too: texts of one repeated byte differ in it alone
     return mixed(out + (end - start).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -241,8 +248,8 @@ def grams(buf: np.ndarray, k: int) -> np.ndarray:
     for lo in range(0, n, BLOCK):
         m = min(BLOCK, n - lo)
         sums = np.zeros(m + k, np.uint64)
-        np.cumsum((buf[lo : lo + m + k - 1].astype(np.uint64) + np.uint64(1)) * _power(_P, m + k - 1), out=sums[1:])
-        out[lo : lo + m] = mixed((sums[k:] - sums[:-k]) * _power(_P_INV, m))
+        np.cumsum((buf[lo : lo + m + k - 1].astype(np.uint64) + np.uint64(1)) * _power(_BASES[0], m + k - 1), out=sums[1:])
+        out[lo : lo + m] = mixed((sums[k:] - sums[:-k]) * _power(_INVERSES[0], m))
     return out
 
 

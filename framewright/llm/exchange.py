@@ -85,11 +85,15 @@ def unpack(block: bytes) -> list[np.ndarray]:
 
 @dataclass
 class Plan:
-    """How hashes are dealt: ``bits`` to buckets, the next ``width`` bytes as what identifies an item in its bucket."""
+    """How hashes are dealt: ``bits`` to buckets, the next ``width`` bytes as what identifies an item in its bucket.
+
+    Where 64 bits are too few for so many items, ``check`` adds 32 of a second hash.
+    """
 
     bits: int
     width: int
     chunk_bytes: int = CHUNK_BYTES
+    check: bool = False
 
     @classmethod
     def of(cls, items: int, spark: SparkSession | None = None, spare: int = 7) -> Plan:
@@ -97,7 +101,7 @@ class Plan:
         bits = max(4, (max(items, 1) // conf("bucketItems", BUCKET)).bit_length())
         # with 7 bits to spare, two different items among so many share all bits with a chance below one in a hundred
         need = 2 * max(items, 2).bit_length() + spare
-        return cls(bits, min(8, max(4, -(-(need - bits) // 8))), conf("chunkBytes", CHUNK_BYTES))
+        return cls(bits, min(8, max(4, -(-(need - bits) // 8))), conf("chunkBytes", CHUNK_BYTES), need > 64)
 
     @property
     def buckets(self) -> int:
@@ -178,13 +182,13 @@ def first_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return heads, rep
 
 
-def blocks(plan: Plan, chunk: int, docs: Docs, position: np.ndarray, h: np.ndarray, times: np.ndarray | bool = False, places: bool = True, kind: int = 0) -> Iterator[tuple[int, int, bytes]]:
+def blocks(plan: Plan, chunk: int, docs: Docs, position: np.ndarray, h: np.ndarray, times: np.ndarray | bool = False, places: bool = True, kind: int = 0, check: np.ndarray | None = None) -> Iterator[tuple[int, int, bytes]]:
     """(bucket, chunk, block) rows of one chunk: the buckets' entries, then the chunk's own block.
 
     ``position`` (ascending) and ``h`` are the items.  A block has the entries' positions and keys; with ``places`` the
     ids, first positions and tags of their documents and each entry's document among these, else four empty arrays; a
-    number for each, from ``times`` or, if that is True, how often the chunk has the item; and ``kind``, which tells apart
-    the items that one chunk sends of two sorts.  The own block has the documents and, for each item that is no first
+    number for each, from ``times`` or, if that is True, how often the chunk has the item; ``kind``, which tells apart
+    the items that one chunk sends of two sorts; and the items' second hashes, if ``check`` has them.  The own block has the documents and, for each item that is no first
     occurrence, (position, position of the first).
     """
     heads, rep = first_of(h)
@@ -203,7 +207,7 @@ def blocks(plan: Plan, chunk: int, docs: Docs, position: np.ndarray, h: np.ndarr
         if places:
             used, which = np.unique(docs.of(p), return_inverse=True)
             who = (docs.ids[used], docs.first[used], docs.tag[used], which)
-        yield int(b), chunk, pack(p, plan.narrow(key[at]), *who, none if times is False else times[i], np.array([kind]))
+        yield int(b), chunk, pack(p, plan.narrow(key[at]), *who, none if times is False else times[i], np.array([kind]), none if check is None else check[i].astype(np.uint32).astype(np.int64))
     other = np.flatnonzero(rep != np.arange(len(h)))
     yield chunk % plan.buckets, chunk, OWN[kind] + pack(docs.ids, docs.text_hash, docs.first, position[other], position[rep[other]])
 
@@ -289,17 +293,24 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         yield now, chunk, got
 
 
-def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, starts) of the groups of two or more equal keys: ``order[starts[g]:starts[g + 1]]`` are group g's indices."""
-    order = np.argsort(key, kind="stable")
+def alike(plan: Plan, sent: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, order, new) of all entries of a bucket's blocks: in that order equal items stand together, and ``new`` marks
+    the first of each."""
+    key, check = np.concatenate([plan.wide(x[1]) for x in sent]), np.concatenate([x[8] for x in sent])
+    order = np.lexsort((check, key)) if len(check) else np.argsort(key, kind="stable")
+    new = np.ones(len(order), bool)
     s = key[order]
-    new = np.ones(len(s) + 1, bool)
-    new[1:-1] = s[1:] != s[:-1]
-    edges = np.flatnonzero(new)
-    size = np.diff(edges)
+    new[1:] = s[1:] != s[:-1]
+    if len(check):
+        new[1:] |= check[order][1:] != check[order][:-1]
+    return key, order, new
+
+
+def groups(order: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts) of the groups of two or more: ``order[starts[g]:starts[g + 1]]`` are group g's indices."""
+    size = np.diff(np.append(np.flatnonzero(new), len(order)))
     many = size > 1
-    keep = np.repeat(many, size)
-    return order[keep], np.concatenate([[0], np.cumsum(size[many])])
+    return order[np.repeat(many, size)], np.concatenate([[0], np.cumsum(size[many])])
 
 
 def with_text(docs: DataFrame) -> DataFrame:

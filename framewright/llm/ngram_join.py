@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, fresh, lean, released, shingles, written
-from .exchange import NO_ID, Docs, Plan, blocks, exchange, pack, unpack, with_text
+from .exchange import NO_ID, Docs, Plan, alike, blocks, exchange, pack, unpack, with_text
 from .graph import components
 
 K = 5
@@ -62,15 +62,11 @@ def _emit(k: int):
 def _counted(plan: Plan, bucket: int, sent: list[list[np.ndarray]]) -> Iterator[bytes | None]:
     """For each chunk's shingles of two or more documents: (position, documents, identity)."""
     sizes = [len(x[0]) for x in sent]
-    key = np.concatenate([plan.wide(x[1]) for x in sent])
+    key, order, new = alike(plan, sent)
     times = np.concatenate([x[6] for x in sent])
-    order = np.argsort(key, kind="stable")
-    s = key[order]
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] != s[:-1]
     edge = np.flatnonzero(new)
-    df = np.empty(len(s), np.int64)
-    df[order] = np.repeat(np.add.reduceat(times[order], edge), np.diff(np.append(edge, len(s))))
+    df = np.empty(len(order), np.int64)
+    df[order] = np.repeat(np.add.reduceat(times[order], edge), np.diff(np.append(edge, len(order))))
     at = 0
     # as much of the hash as the plan kept, made one number again
     front = np.uint64(bucket) << np.uint64(64 - plan.bits)

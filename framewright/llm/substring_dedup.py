@@ -4,8 +4,8 @@ Every window of k words is an edge of the De Bruijn graph, from its first k - 1
 documents meet by hash (:mod:`exchange`), which gives each its source: the smallest document that it starts in, and the
 place there.  Along a document, edges that follow each other in their source as well compact to one path; only paths, not
 edges, become rows.  A Spark join brings the distinct paths to the texts of their sources, and their exact words are
-compared through 128-bit digests with those of the document.  Should a path fail, the exchange is run again with longer
-hashes, so equal hashes alone never remove a word.
+compared through 128-bit digests with those of the document.  Should a path fail, the exchange is run again with other
+and longer hashes, so equal hashes alone never remove a word.
 
 Defined results: null text has no words; a null doc_id counts as larger than all others; rows with the same doc_id never
 remove words from each other; repeated rows each get the same result; windows are judged on the input; an empty table
@@ -23,17 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, lean, released, written
-from .exchange import NO_ID, Docs, Plan, blocks, exchange, groups, pack, with_text
+from .exchange import NO_ID, Docs, Plan, alike, blocks, exchange, groups, pack, with_text
 
 K = 13
 _PATHS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("src", pa.list_(pa.int64())), ("src_tag", pa.list_(pa.int32())), ("src_start", pa.list_(pa.int32()))])
 
 
-def _emit(k: int):
+def _emit(k: int, attempt: int):
     def emit(plan: Plan, chunk: int, ids: np.ndarray, hashes: np.ndarray, texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
         words = Words(texts)
-        at, h = words.windows(k)
-        return blocks(plan, chunk, Docs(ids, hashes, words.first), at, h)
+        at, h = words.windows(k, 2 * attempt)
+        return blocks(plan, chunk, Docs(ids, hashes, words.first), at, h, check=words.windows(k, 2 * attempt + 1)[1] if plan.check else None)
 
     return emit
 
@@ -41,9 +41,7 @@ def _emit(k: int):
 def sources(plan: Plan, bucket: int, sent: list[list[np.ndarray]]) -> Iterator[bytes | None]:
     """For each chunk's entries that start in a smaller document too: (position, source document, its tag, place in it)."""
     sizes = [len(x[0]) for x in sent]
-    key = np.concatenate([plan.wide(x[1]) for x in sent])
-    order, starts = groups(key)
-    del key
+    order, starts = groups(*alike(plan, sent)[1:])
     pos = np.concatenate([x[0] for x in sent])[order]
     doc = np.concatenate([x[2][x[5]] for x in sent])[order]
     place = pos - np.concatenate([x[3][x[5]] for x in sent])[order]
@@ -93,9 +91,9 @@ def _paths(docs: Docs, own: list[np.ndarray], answers: list[list[np.ndarray]]) -
     yield pa.RecordBatch.from_arrays([pa.array(docs.ids[which]), pa.array(docs.text_hash[which]), *cols], schema=_PATHS)
 
 
-def repeated_paths(docs: DataFrame, plan: Plan, k: int) -> DataFrame:
+def repeated_paths(docs: DataFrame, plan: Plan, k: int, attempt: int = 0) -> DataFrame:
     """``doc_id, text_hash, start, n, src, src_tag, src_start`` (arrays: n edges each) of documents that repeat earlier ones."""
-    return exchange(docs, plan, _emit(k), sources, _paths, "doc_id long, text_hash long, start array<int>, n array<int>, src array<long>, src_tag array<int>, src_start array<int>")
+    return exchange(docs, plan, _emit(k, attempt), sources, _paths, "doc_id long, text_hash long, start array<int>, n array<int>, src array<long>, src_tag array<int>, src_start array<int>")
 
 
 _OUT = "doc_id long, text_hash long, n_words long, n_removed long, kept_sha256 string, kept string, checks array<struct<src:long,tag:int,start:int,n:int,digest:binary>>, asked array<struct<start:int,n:int,digest:binary>>"
@@ -139,7 +137,7 @@ def _resolve(k: int, texts: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, k: int = K, texts: bool = False, width: int | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, k: int = K, texts: bool = False, attempt: int = 0) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of each row of ``docs(doc_id, text)``; with ``texts``, also ``kept``.
 
     A word goes if a window of k words that covers it also starts in a document of a smaller id.
@@ -147,9 +145,9 @@ def substring_dedup(docs: DataFrame, k: int = K, texts: bool = False, width: int
     rows = with_text(docs)
     count = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     plan = Plan.of(count // 5, docs.sparkSession)
-    if width:
-        plan.width = width
-    paths = written(repeated_paths(rows, plan, k), "paths")
+    if attempt:
+        plan.width, plan.check = 8, True
+    paths = written(repeated_paths(rows, plan, k, attempt), "paths")
     released(docs.sparkSession)
     tag = lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")  # noqa: E731  as Docs.tag
     # what each text is asked for: its own paths, and the spans that are sources of others
@@ -164,8 +162,8 @@ def substring_dedup(docs: DataFrame, k: int = K, texts: bool = False, width: int
     checks = out.select(F.explode("checks").alias("c")).select("c.*").distinct()
     found = out.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("src"), tag(F.col("text_hash")).alias("tag"), F.explode("asked").alias("a")).select("src", "tag", "a.*").distinct()
     failed = checks.join(found, ["src", "tag", "start", "n", "digest"], "left_anti")
-    if plan.width < 8 and not failed.isEmpty():
-        return substring_dedup(docs, k, texts, 8)
     if not failed.isEmpty():
-        raise RuntimeError("two different windows share a hash of 64 bits and more")
+        if attempt == 3:
+            raise RuntimeError("different windows share their hashes in each of four ways")
+        return substring_dedup(docs, k, texts, attempt + 1)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if texts else []))

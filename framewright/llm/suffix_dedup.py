@@ -15,7 +15,8 @@ hundreds of times, so suffixes are sampled where their content says so, and only
    contexts to the left, how far each suffix's repeats reach on either side.
 4. The reaches become spans of documents, and a join with the texts removes them.
 
-The bytes themselves are compared in step 3; in step 2 a context counts as repeated if its 64-bit hash is.
+The bytes themselves are compared in step 3; in step 2 a context counts as repeated if its hash is, of 64 bits, or
+96 where so many anchors need them.
 
 Defined results: null text is empty; repeated rows are repeats of each other; a null doc_id is kept as null; overlapping
 repeats in one document count; an empty table gives an empty table; further columns are not looked at.
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import grams, lean, released, sliding_min, spans_hash, written
-from .exchange import NO_ID, Docs, Plan, blocks, dealt_to, exchange, first_of, pack, unpack, with_text
+from .exchange import NO_ID, Docs, Plan, alike, blocks, dealt_to, exchange, first_of, pack, unpack, with_text
 
 SIZE = 400
 GRAM = 64
@@ -86,7 +87,7 @@ def _emit(size: int, k: int):
         context = spans_hash(buf, lo, hi) ^ ((at - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         # of each gram, how many contexts the chunk has
         kinds = np.bincount(first_of(gram)[1][first_of(context)[0]], minlength=len(at))
-        yield from blocks(plan, chunk, docs, at, context, times=True, places=False)
+        yield from blocks(plan, chunk, docs, at, context, times=True, places=False, check=spans_hash(buf, lo, hi, 1) if plan.check else None)
         yield from blocks(plan, chunk, docs, at, gram, times=kinds, places=False, kind=1)
 
     return emit
@@ -103,11 +104,8 @@ def _answers(plan: Plan, bucket: int, sent: list[list[np.ndarray]]) -> Iterator[
         mine = [i for i, x in enumerate(sent) if x[7][0] == kind]
         if not mine:
             continue
-        key = np.concatenate([plan.wide(sent[i][1]) for i in mine])
         times = np.concatenate([sent[i][6] for i in mine])
-        by = np.argsort(key, kind="stable")
-        new = np.ones(len(by), bool)
-        new[1:] = key[by][1:] != key[by][:-1]
+        _, by, new = alike(plan, [sent[i] for i in mine])
         edge = np.flatnonzero(new)
         sizes = np.diff(np.append(edge, len(by)))
         total, chunks, first = np.empty(len(by), np.int64), np.empty(len(by), np.int64), np.empty(len(by), bool)
@@ -175,7 +173,7 @@ def _emit_strings(size: int, k: int):
                 starts.append(np.arange(max(0, p - (size - k)), min(p, len(text) - size) + 1) + base)
         at = np.unique(np.concatenate(starts))
         buf = np.frombuffer(b"".join(t for _, t in parts), np.uint8)
-        return blocks(plan, chunk, Docs(ids, hashes, first), at, spans_hash(buf, at, at + size), times=True, places=False)
+        return blocks(plan, chunk, Docs(ids, hashes, first), at, spans_hash(buf, at, at + size), times=True, places=False, check=spans_hash(buf, at, at + size, 1) if plan.check else None)
 
     return emit
 

@@ -70,7 +70,7 @@ def test_words_wrong_hash_is_caught(docs_of, monkeypatch):
     whole = exchange.Plan.of
     calls = []
 
-    def poor(items, spark=None):
+    def poor(items, spark=None, spare=7):
         p = whole(items)
         p.width = 1
         calls.append(p)
@@ -155,3 +155,23 @@ def test_reaches_of_random_groups():
             if pairs:
                 want.append((i, max(p[0] for p in pairs), max(p[1] for p in pairs)))
         assert got == want
+
+
+def test_second_hashes(docs_of, monkeypatch):
+    """As at a size where 64 bits are too few: the results are the same."""
+    from framewright.llm import exchange, ngram_join
+
+    whole = exchange.Plan.of
+
+    def large(items, spark=None, spare=7):
+        p = whole(items)
+        p.width, p.check = 8, True
+        return p
+
+    assert whole(1 << 43).check and not whole(1 << 27).check
+    monkeypatch.setattr(exchange.Plan, "of", staticmethod(large))
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choice("abcde") for _ in range(40))) for i in range(40)]
+    assert tuples(substring_dedup.substring_dedup(docs_of(rows), k=4), W) == words_by_hand(rows, 4)
+    assert tuples(suffix_dedup.suffix_dedup(docs_of(rows), 20, 8, most=3), B) == bytes_by_hand(rows, 20)
+    assert ngram_join.ngram_join(docs_of(rows)).count() == 40
