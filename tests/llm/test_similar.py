@@ -132,15 +132,16 @@ def test_join_local_derives_answers():
     assert count
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 30, 1000])
+def test_components(spark, local):
     rng = random.Random(9)
     links = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(7, 7)]
     uf = ngram_join.Union(200)
     for a, b in links:
         uf.join(a, b)
-    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(links, "a long, b long"), local).collect()}
     assert got == {n: uf.find(n) for ab in links if ab[0] != ab[1] for n in ab}
-    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert graph.components(spark.createDataFrame([], "a long, b long"), local).count() == 0
 
 
 # ------------------------------------------------------------------ decontamination
