@@ -7,9 +7,9 @@
    one candidate group (a few Spark joins), and a group's sets meet in one task, or in pairs of blocks if they are many.
 4. In a task the sets are joined exactly.  The index lists are cut in blocks by position; blocks whose position leaves too
    little room for the overlap are skipped.  A set that is highly similar to one already answered derives its answers from
-   that one's: |x & y| lies within what x and z differ in of |z & y|, so most partners are accepted or rejected unread; and
-   partners of one component already are not looked at again, since a component is what is asked for.
-5. Connected components of the links.
+   that one's: |x & y| lies within what x and z differ in of |z & y|, so many partners are accepted or rejected unread.
+   Every link is emitted; where only components are asked for (``spanning``), partners of one already are skipped.
+5. Connected components of the links, and each document's number of links, where a class counts for all its documents.
 
 Defined results: null text and text without words has 0 shingles and no links; fewer words than k are one shingle; a null
 doc_id is nobody's smallest, and its component_id is null if it links with nothing; repeated rows link with each other; an
@@ -22,6 +22,7 @@ import hashlib
 import struct
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -151,17 +152,17 @@ class Union:
         return i != j
 
 
-def join_local(sets: list[list[int]], sizes: list[int], percent: int, side: list[int] | None = None, known: list[int] | None = None, count: dict | None = None) -> list[tuple[int, int]]:
-    """Links among ``sets`` (shared tokens in one order, rare first; ``sizes`` with the others) that span each component.
+def join_local(sets: list[list[int]], sizes: list[int], percent: int, side: list[int] | None = None, known: list[int] | None = None, count: dict | None = None, spanning: bool = False) -> Iterator[tuple[int, int]]:
+    """Links among ``sets`` (shared tokens in one order, rare first; ``sizes`` with the others), each of them once.
 
-    With ``side``, only sets of different sides are compared; ``known`` has numbers of components known before.
+    With ``side``, only sets of different sides are compared.  With ``spanning``, only links that span each component come
+    out; ``known`` has numbers of components known before then.
     """
     uf, stats = Union(len(sets)), count if count is not None else {}
     if known:
         seen: dict[int, int] = {}
         for i, c in enumerate(known):
             uf.join(seen.setdefault(c, i), i)
-    links: list[tuple[int, int]] = []
     as_set: dict[int, set[int]] = {}
     index: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
     answers: dict[int, dict[int, int]] = {}
@@ -184,14 +185,14 @@ def join_local(sets: list[list[int]], sizes: list[int], percent: int, side: list
         found: dict[int, int] = {}
         z = None  # the most similar set that has been answered
         for y, _ in shared.most_common():
-            if 100 * sizes[y] < percent * n or (side is not None and side[x] == side[y]) or uf.find(x) == uf.find(y):
+            if 100 * sizes[y] < percent * n or (side is not None and side[x] == side[y]) or (spanning and uf.find(x) == uf.find(y)):
                 continue
             need = -(-percent * (n + sizes[y]) // (100 + percent))
             if z is not None and (o := answers[z].get(y)) is not None:
                 if o - (len(sets[z]) - found[z]) >= need:
                     stats["accepted unread"] = stats.get("accepted unread", 0) + 1
                     uf.join(x, y)
-                    links.append((x, y))
+                    yield x, y
                     continue
                 if o + (len(mine) - found[z]) < need:
                     stats["rejected unread"] = stats.get("rejected unread", 0) + 1
@@ -202,79 +203,85 @@ def join_local(sets: list[list[int]], sizes: list[int], percent: int, side: list
                 z = y
             if o >= need:
                 uf.join(x, y)
-                links.append((x, y))
+                yield x, y
         answers[x] = found
-        for y, o in found.items():
-            answers[y][x] = o
+        if side is None:  # sets of one side have no answers to derive from
+            for y, o in found.items():
+                answers[y][x] = o
         for i, t in enumerate(prefix):
             index[t][(unique + i) // STEP].append(x)
-    return links
 
 
 _MEET = ["cc", "i", "j"]
+_LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("of_a", pa.int64()), ("of_b", pa.int64()), ("spans", pa.bool_())])
 
 
-def _join(percent: int):
+def _join(percent: int, spanning: bool):
     """Joins the sets of each run of equal keys; one run is in memory at a time."""
 
-    def out(rows: list[tuple]) -> tuple[list[bytes], list[bytes]]:
+    def out(rows: list[dict]) -> Iterator[tuple]:
         sets = [np.frombuffer(unpack(r["tokens"])[0].tobytes(), "<i8").tolist() for r in rows]
         cross = rows[0]["i"] != rows[0]["j"]
-        links = join_local(sets, [r["n"] for r in rows], percent, [r["b"] for r in rows] if cross else None, [r["known"] for r in rows] if cross else None)
-        return [rows[a]["node"] for a, _ in links], [rows[b]["node"] for _, b in links]
+        known = [r["known"] for r in rows] if cross and spanning else None
+        uf = Union(len(rows))
+        for a, b in join_local(sets, [r["n"] for r in rows], percent, [r["b"] for r in rows] if cross else None, known, spanning=spanning):
+            yield rows[a]["node"], rows[b]["node"], rows[a]["m"], rows[b]["m"], uf.join(a, b)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         key, rows = None, []
-        a: list[bytes] = []
-        b: list[bytes] = []
         for batch in batches:
             for r in batch.to_pylist():
                 if (now := tuple(r[c] for c in _MEET)) != key:
                     if len(rows) > 1:
-                        x, y = out(rows)
-                        a, b = a + x, b + y
+                        yield rows
                     key, rows = now, []
                 rows.append(r)
-            if len(a) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-                a, b = [], []
         if len(rows) > 1:
-            x, y = out(rows)
-            a, b = a + x, b + y
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            yield rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        links = (link for rows in runs(batches) for link in out(rows))
+        while some := list(islice(links, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), _LINKS)], schema=_LINKS)
 
     return run
 
 
-def _meet(dealt: DataFrame, percent: int) -> DataFrame:
-    cols = dealt.select(*_MEET, "b", "node", "n", "tokens", "known")
-    return cols.repartition(*_MEET).sortWithinPartitions(*_MEET).mapInArrow(_join(percent), "a binary, b binary")
+def _meet(dealt: DataFrame, percent: int, spanning: bool) -> DataFrame:
+    cols = dealt.select(*_MEET, "b", "node", "n", "m", "tokens", "known")
+    return cols.repartition(*_MEET).sortWithinPartitions(*_MEET).mapInArrow(_join(percent, spanning), "a binary, b binary, of_a long, of_b long, spans boolean")
+
 
+def links(reps: DataFrame, percent: int, group: int = GROUP, spanning: bool = False) -> DataFrame:
+    """``a, b, of_a, of_b, spans``: each link between ``reps(node, n, m, tokens)`` once, and the ``m`` of both.
 
-def links(reps: DataFrame, percent: int, group: int = GROUP) -> DataFrame:
-    """``a, b``: links between ``reps(node, n, tokens)`` that span each component."""
+    Those that ``spans`` is true of span each component; with ``spanning``, no more than such are looked for.
+    """
     post = written(reps.select("node", "n", "tokens").mapInArrow(_postings(percent), "token long, node binary"), "postings")
     first = post.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a != z").select("token", "a")
     near = components(post.join(first, "token").filter("node != a").select("a", F.col("node").alias("b")).distinct())
     labels = written(near.select("node", F.col("root").alias("cc")), "candidates")
     sized = labels.groupBy("cc").agg(F.ceil(F.count("*") / group).cast("int").alias("blocks"))
-    mine = reps.select("node", "n", "tokens").join(labels.join(sized, "cc"), "node").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    within = _meet(mine.withColumns({"i": F.col("b"), "j": F.col("b"), "known": F.lit(0).cast("long")}), percent)
+    mine = reps.select("node", "n", "m", "tokens").join(labels.join(sized, "cc"), "node").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    within = _meet(mine.withColumns({"i": F.col("b"), "j": F.col("b"), "known": F.lit(0).cast("long")}), percent, spanning)
     if sized.filter("blocks > 1").isEmpty():
         return within
-    # groups of many blocks: what the blocks' own links join is known; every two blocks meet for the rest
-    within = written(within, "links")
-    known = components(within).select("node", F.xxhash64("root").alias("known"))
-    wide = mine.filter("blocks > 1").join(known, "node", "left").withColumn("known", F.coalesce("known", F.xxhash64("node")))
+    # groups of many blocks: every two blocks meet for the rest; what the blocks' own links join is known
+    wide = mine.filter("blocks > 1").withColumn("known", F.lit(0).cast("long"))
+    if spanning:
+        within = written(within, "links")
+        known = components(within).select("node", F.xxhash64("root").alias("known"))
+        wide = wide.drop("known").join(known, "node", "left").withColumn("known", F.coalesce("known", F.xxhash64("node")))
     other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("b"))
     dealt = wide.withColumn("other", F.explode(other)).withColumns({"i": F.least("b", "other"), "j": F.greatest("b", "other")})
-    return within.unionByName(_meet(dealt, percent))
+    return within.unionByName(_meet(dealt, percent, spanning))
 
 
-def ngram_join(docs: DataFrame, k: int = K, percent: int = 75, group: int = GROUP) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of each row of ``docs(doc_id, text)``, and ``node`` and ``component``, the row's and
-    the component's identity.
+def ngram_join(docs: DataFrame, k: int = K, percent: int = 75, group: int = GROUP, spanning: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id, n_links`` of each row of ``docs(doc_id, text)``, and ``node`` and ``component``, the
+    row's and the component's identity.  ``n_links`` is the number of other rows that link with the row; with ``spanning``,
+    only components are made, and it is left out.
 
     Two documents link if 100 * |x & y| >= percent * |x | y| for their sets of distinct lower-cased k-word shingles.
     """
@@ -285,13 +292,20 @@ def ngram_join(docs: DataFrame, k: int = K, percent: int = 75, group: int = GROU
     sets = written(exchange(rows, plan, _emit(k), _counted, _candidates(percent), "doc_id long, node binary, n long, set binary, tokens binary"), "sets")
     released(docs.sparkSession)
     some = sets.filter(F.col("set").isNotNull())
-    reps = written(some.groupBy("set").agg(F.min_by(F.struct("node", "n", "tokens"), F.coalesce("doc_id", F.lit(NO_ID))).alias("r"), F.min("doc_id").alias("least")).select("set", "least", "r.*"), "classes")
-    roots = components(links(reps, percent, group))
-    of = reps.select("set", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    reps = written(some.groupBy("set").agg(F.min_by(F.struct("node", "n", "tokens"), F.coalesce("doc_id", F.lit(NO_ID))).alias("r"), F.min("doc_id").alias("least"), F.count("*").alias("m")).select("set", "least", "m", "r.*"), "classes")
+    linked = links(reps, percent, group, spanning)
+    linked = linked if spanning else written(linked, "links")
+    roots = components(linked if spanning else linked.filter("spans"))
+    of = reps.select("set", "node", "least", "m").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = of.join(smallest, "root").select("set", "component_id", F.col("root").alias("component"))
-    out = some.select("doc_id", "n", "node", "set").join(classes, "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "node", "component")
-    alone = sets.filter(F.col("set").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "node", F.col("node").alias("component"))
+    counted = [] if spanning else ["n_links"]
+    if not spanning:
+        # a link between classes links each document of the one with each of the other; those of one class link too
+        ends = linked.select(F.col("a").alias("node"), F.col("of_b").alias("m")).unionByName(linked.select(F.col("b").alias("node"), F.col("of_a").alias("m")))
+        of = of.join(ends.groupBy("node").agg(F.sum("m").alias("others")), "node", "left").withColumn("n_links", F.coalesce("others", F.lit(0)) + F.col("m") - 1)
+    classes = of.join(smallest, "root").select("set", "component_id", *counted, F.col("root").alias("component"))
+    out = some.select("doc_id", "n", "node", "set").join(classes, "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *counted, "node", "component")
+    alone = sets.filter(F.col("set").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *[F.lit(0).cast("long").alias(c) for c in counted], "node", F.col("node").alias("component"))
     return out.unionByName(alone)
 
 

@@ -87,6 +87,24 @@ def test_join_by_hand(docs_of, near_copies, group):
     assert got_rows(ngram_join.ngram_join(docs, group=group)) == want_rows(near_copies)
 
 
+@pytest.mark.parametrize("group", [2000, 4])
+def test_join_counts_every_link(docs_of, near_copies, group):
+    sets = [shingle_set(t) for _, t in near_copies]
+    want = [sum(i != j and bool(x) and 100 * len(x & y) >= 75 * len(x | y) for j, y in enumerate(sets)) for i, x in enumerate(sets)]
+    docs = docs_of(near_copies).repartition(3)
+    got = ngram_join.ngram_join(docs, group=group).select("doc_id", "n_shingles", "n_links").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(d, len(s), n) for (d, _), s, n in zip(near_copies, sets, want)], key=str)
+    assert max(want) > 3
+    assert got_rows(ngram_join.ngram_join(docs, group=group, spanning=True)) == want_rows(near_copies)
+
+
+def test_join_local_emits_every_link():
+    """In a group of near copies each pair is a link, also where others join both already."""
+    sets = [sorted({*range(40)} - {i}) for i in range(12)]
+    links = [tuple(sorted(x)) for x in ngram_join.join_local(sets, [39] * 12, 75)]
+    assert sorted(links) == [(a, b) for a in range(12) for b in range(a + 1, 12)]
+
+
 def test_join_whole_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
