@@ -71,9 +71,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     ranked = joined.withColumn("q", F.when((F.col("p") > 0) & (F.col("p") < 1), pareto / (1 + pareto)).otherwise(u)).withColumn("bin", F.floor(F.col("q") * bins).cast("int"))
     bin_words = ranked.groupBy("_s", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     before = F.sum("words").over(Window.partitionBy("_s").orderBy("bin")) - F.col("words")
-    # the bins up to the cut, and in which bin it falls
-    binned = bin_words.withColumn("before", before).select(F.col("_s").alias("_bs"), F.col("bin").alias("_bin"), "before", (F.col("before") + F.col("words") <= F.col("rest")).alias("inside"), ((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest"))).alias("cut"))
-    cuts = binned.filter("cut").select("_bs", F.col("_bin").alias("cut_bin"), "before")
+    # the first bin that goes beyond the rest holds the cut, also if the bins before it make up the rest exactly
+    beyond = bin_words.withColumn("before", before).filter((F.col("rest") > 0) & (F.col("before") + F.col("words") > F.col("rest")))
+    cuts = beyond.groupBy(F.col("_s").alias("_bs")).agg(F.min(F.struct("bin", "before")).alias("x")).select("_bs", F.col("x.bin").alias("cut_bin"), "x.before")
     marked = ranked.join(cuts, F.struct(ranked["_s"]) == F.struct(cuts["_bs"]), "left")
     below = F.col("cut_bin").isNull() | (F.col("bin") < F.col("cut_bin"))
     keep = ["doc_id", "size", "source_size", "target", "whole"]

@@ -155,6 +155,13 @@ def test_mixing_edges(docs_of):
     assert mixing.mix(docs_of([])).count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 4, 10])
+def test_mixing_bins_meet_the_rest(docs_of, n):
+    """Bins of equal documents add up to the rest exactly: the source still gets 1.5 copies, not 2."""
+    got = mixing.mix(docs_of([(i, "w " * 10, "en", "a") for i in range(n)])).collect()
+    assert sum(r["taken"] for r in got) == 15 * n and sorted(r["copies"] for r in got) == [1] * (n // 2) + [2] * (n // 2)
+
+
 def test_mixing_is_unbiased(docs_of):
     """Within a source, each document's chance is the same whatever its size."""
     docs = docs_of([(i, "w " * (1 + i % 7), "en", "abc"[i % 3]) for i in range(300)])
