@@ -3,7 +3,8 @@
 Each source gets a target number of words; whole copies of all its documents are certain as long as they fit, and for the
 rest each document gets an inclusion probability and a random number u, and documents are taken in the order of
 (u / (1 - u)) / (p / (1 - p)), the Pareto order, until the fixed size, counted in words, is reached.  The cut that comes
-nearest to the rest is taken.  ``u`` is a hash of the row, so reruns agree.
+nearest to the rest is taken.  The probability is one for all documents of a source, so within it this is plain random order.
+``u`` is a hash of the row, so reruns agree.
 
 Scale: no source is ever sorted as a whole.  The order is mapped to (0, 1) and cut into bins whose words are summed on the
 map side; only the bin of each source in which the cut falls is sorted.  Sources are first reduced to one row each.
