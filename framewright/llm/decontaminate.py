@@ -3,9 +3,10 @@
 A test item is short, a document may be a thousand times longer, so their whole MinHashes say nothing of each other.
 Items are partitioned by size (shingles, in powers of two); for the partition of size s a document is seen as blocks of 2s
 shingles, one each s, so a passage of s shingles lies within one block and makes up half of it or more.  Of block and item,
-the least shingle under each of ``HASHES`` hash functions is the same one with a chance of their overlap by the block's
-size, so a contained item misses all of them with a chance below (1 - 0.75 / 2) ** HASHES, 3e-10 at 46 hashes.  Who shares one
-is a candidate; it is verified by exact shingle containment in the whole document.
+the least shingle under each hash function is the same one with a chance p of their overlap by their union: 0.33 for an item
+of s shingles, 0.18 for one of s / 2.  A class has ``HASHES`` functions, or as many more as its smallest item needs, 113 at
+most, so that a contained passage misses all of them with a chance (1 - p) ** hashes of ``MISS`` at most.  Who shares one is
+a candidate; it is verified by exact shingle containment in the whole document.
 
 The signatures of the items are small only if the items are few: they are broadcast while their bytes are below a checked
 bound, and beyond it the items are taken in rounds of that size, each over all documents, so memory never grows with them.
@@ -17,6 +18,7 @@ columns are not looked at.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -31,11 +33,12 @@ from .exchange import with_text
 K = 5
 CONTAINED = 0.75
 HASHES = 46
+#: Chance that a contained item of any size misses all hashes of a block, at most.
+MISS = 3e-10
 #: Texts of so many bytes are hashed at once.
 _PART = 1 << 20
 #: Items in a round; an item's signatures and shingles take some kilobytes at most, unless it is itself long.
 ROUND = 20_000
-_SALTS = mixed(np.arange(1, 1 + 64, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
 def size_class(n: int) -> int:
@@ -43,6 +46,17 @@ def size_class(n: int) -> int:
     return 1 << max(0, int(n) - 1).bit_length()
 
 
+def _salts(n: int) -> np.ndarray:
+    return mixed(np.arange(1, 1 + n, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
+def _needed(size: int, n: int, contained: float) -> int:
+    """Hashes by which an item of n shingles in the class of ``size`` is missed with a chance of ``MISS`` at most."""
+    overlap = min(n, max(1, math.ceil(contained * n)))
+    p = overlap / (2 * size + n - overlap)
+    return math.ceil(math.log(MISS) / math.log1p(-p))
+
+
 def _min_hashes(h: np.ndarray, at: np.ndarray, salt: np.uint64) -> np.ndarray:
     """The least hash of ``h`` under one function in each segment that begins at ``at``."""
     return np.minimum.reduceat((h ^ salt) * np.uint64(0x9FB21C651E98DF25), at)
@@ -51,7 +65,7 @@ def _min_hashes(h: np.ndarray, at: np.ndarray, salt: np.uint64) -> np.ndarray:
 class Items:
     """Test items: their exact shingle sets by number, and their signatures by size class."""
 
-    def __init__(self, ids: list, texts: list[bytes], k: int, hashes: int):
+    def __init__(self, ids: list, texts: list[bytes], k: int, hashes: int, contained: float = CONTAINED):
         self.ids, self.k, self.hashes = ids, k, hashes
         words = Words(texts, lower=True)
         doc, h = shingles(words, k)
@@ -66,7 +80,8 @@ class Items:
                 by[size_class(len(s))].append(i)
         for size, members in sorted(by.items()):
             tables = []
-            for salt in _SALTS[:hashes]:
+            least = min(len(self.sets[i]) for i in members)
+            for salt in _salts(max(hashes, _needed(size, least, contained))):
                 low = np.array([((self.sets[i] ^ salt) * np.uint64(0x9FB21C651E98DF25)).min() for i in members])
                 order = np.argsort(low)
                 tables.append((low[order], np.array(members)[order]))
@@ -86,7 +101,7 @@ def _candidates(items: Items, first: np.ndarray, h: np.ndarray) -> Iterator[tupl
         at = first[d] + half * size
         pair = np.flatnonzero(d[1:] == d[:-1])
         alone = np.flatnonzero(count[d] == 1)
-        for salt, (low, member) in zip(_SALTS, tables):
+        for salt, (low, member) in zip(_salts(len(tables)), tables):
             halves = _min_hashes(h, at, salt)
             least = np.concatenate([np.minimum(halves[pair], halves[pair + 1]), halves[alone]])
             text = np.concatenate([d[pair], d[alone]])
@@ -153,7 +168,7 @@ def leaks(docs: DataFrame, bench: DataFrame, k: int = K, contained: float = CONT
     for r in range(rounds if n["n"] else 0):
         some = tests.filter(F.pmod(F.xxhash64(F.lit(6), "item_id", "text"), F.lit(rounds)) == r).collect()
         if some:
-            items = Items([x["item_id"] for x in some], [x["text"].encode() for x in some], k, hashes)
+            items = Items([x["item_id"] for x in some], [x["text"].encode() for x in some], k, hashes, contained)
             shared = spark.sparkContext.broadcast(items)
             found = rows.mapInArrow(_find(shared, contained), out.schema)
             out = found if r == 0 else out.unionByName(found)
