@@ -5,7 +5,7 @@ the family, vote.  Features: hashed runs of one to three bytes of the lower-case
 scaled to length 1.  Letters of non-Latin scripts need no rules of their own, as their bytes differ.
 
 Training: a bounded sample of the labelled rows, ``PER_LANG`` rows a language and ``MAX_ROWS`` in all (documented bounds),
-chosen by a hash of the row; prediction covers every row and reads nothing but the text.
+but ``MIN_ROWS`` of each language, however many languages there are; chosen by a hash of the row; prediction covers every row and reads nothing but the text.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; if nothing can be learned from, every text
 is ``und``; repeated rows each get their result; an empty table gives an empty table; further columns are ignored.
@@ -25,6 +25,8 @@ from .common import fresh, lean, text_of
 
 DIM = 1 << 11
 PER_LANG, MAX_ROWS = 500, 4000
+#: Rows of each language that has them; with more than MAX_ROWS / MIN_ROWS languages, the total follows their number.
+MIN_ROWS = 8
 #: Families of languages by code; a code that is not here is a family of its own.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "is", "lb", "nb", "nl", "nn", "no", "sv"),
@@ -115,10 +117,10 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, per_lang: int = PER_LANG, max_rows: int = MAX_ROWS, dim: int = DIM) -> Model | None:
     """A model from the labelled rows that are not held out; None if there are none."""
     fit = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in fit.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_rows // 8).collect()}
+    counts = {r["lang"]: r["count"] for r in fit.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
     if not counts:
         return None
-    each = min(per_lang, max_rows // len(counts))
+    each = min(per_lang, max(MIN_ROWS, max_rows // len(counts)))
     # rows whose hash is below a language's share: as many as wanted, give or take chance, without sorting anything
     share = F.element_at(F.create_map(*(F.lit(v) for g, n in counts.items() for v in (g, min(1.0, each / n)))), F.col("lang"))
     u = F.pmod(F.xxhash64(F.lit(10), "doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))

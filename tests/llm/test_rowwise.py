@@ -290,3 +290,9 @@ def test_query_against_sql(spark, name):
     got, want = queries.QUERIES[name](spark, SF).toPandas(), con.sql(queries.ORACLE[name]).df()
     plain = lambda df: sorted(tuple(map(str, r)) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
     assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
+
+
+def test_language_many_labels(docs_of):
+    """No label is dropped where there are more than a bounded sample has room for."""
+    docs = docs_of([(i, f"words of number {i}", f"l{i % 7}") for i in range(140)])
+    assert language_id.train(docs, max_rows=16).langs == [f"l{i}" for i in range(7)]
