@@ -15,8 +15,9 @@ hundreds of times, so suffixes are sampled where their content says so, and only
    contexts to the left, how far each suffix's repeats reach on either side.
 4. The reaches become spans of documents, and a join with the texts removes them.
 
-The bytes themselves are compared in step 3; in step 2 a context counts as repeated if its hash is, of 64 bits, or
-96 where so many anchors need them.
+The bytes themselves are compared in step 3; in step 2 a context counts as repeated if its hash is, with no look at
+its bytes.  Of the 64 bits the plan keeps ``bits + 8 * width``, fewer for less text, so that any two different ones share
+them with a chance below one in a hundred a run; where so many anchors need them, 32 of a second hash are added.
 
 Defined results: null text is empty; repeated rows are repeats of each other; a null doc_id is kept as null; overlapping
 repeats in one document count; an empty table gives an empty table; further columns are not looked at.
