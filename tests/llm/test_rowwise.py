@@ -115,6 +115,56 @@ def test_secrets_ownership(docs_of):
     assert secret_scan.secret_scan(docs_of([])).count() == 0
 
 
+def test_secrets_many_spans_of_one_text(docs_of):
+    """Each span is placed by a running sum, so twice the spans take about twice the time, not four times."""
+    import time
+
+    took = {}
+    for n in (500, 16_000, 32_000):  # the first one compiles
+        docs = docs_of([(1, "token=abcdefgh1234 é " * n)])
+        began = time.time()
+        scanned = secret_scan.secret_scan(docs)
+        (row,) = scanned.collect()
+        took[n] = time.time() - began
+        assert len(row["spans"]) == n and all(s["start"] == 21 * i and s["end"] == 21 * i + 18 for i, s in enumerate(row["spans"]))
+        assert secret_scan.redacted(docs, scanned).first()["text"] == "[secret] é " * n
+    assert took[32_000] < 2.5 * took[16_000] + 3
+
+
+def test_secrets_redacted_runs(docs_of):
+    """Overlapping live spans are one run; what is between runs stays, at the edges too."""
+    key, rng = "AKIA" + "QWERTYUIOP012345", random.Random(21)
+    docs = docs_of([(i, "".join(rng.choice([key, f"secret={key}", "é", " ", "\n", f"token: {key}-x", "word"]) for _ in range(rng.randrange(30)))) for i in range(60)] + [(None, key), (99, key)])
+    scanned = secret_scan.secret_scan(docs, max_owners=9, max_repos=999)
+    out = {r["doc_id"]: r["text"] for r in secret_scan.redacted(docs, scanned).collect()}
+    text, n = {r["doc_id"]: r["text"] for r in docs.collect()}, 0
+    for r in scanned.collect():
+        runs = []
+        for a, b in sorted((s["start"], s["end"]) for s in r["spans"] if s["live"]):
+            if runs and a < runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], b)
+            else:
+                runs.append([a, b])
+        t, at, want = text[r["doc_id"]], 0, ""
+        for a, b in runs:
+            want, at = want + t[at:a] + "[secret]", b
+        assert out[r["doc_id"]] == want + t[at:]
+        n += len(runs)
+    assert n > 50
+
+
+@pytest.mark.parametrize("most", [1, 2, 7, 1000])
+def test_secrets_hot_values(spark, most):
+    """Values of very many rows don't meet by hash; the counts are the same."""
+    rows = [(f"h{i % 9 if i % 2 else 0}", i % 31, "abc"[i % 3] if i % 5 else None) for i in range(200)]
+    got = secret_scan.judged(spark.createDataFrame(rows, "hash string, repo long, owner string"), most).collect()
+    repos, owners = defaultdict(set), defaultdict(set)
+    for h, r, o in rows:
+        repos[h].add(r)
+        owners[h].add(o)
+    assert len(got) == 200 and all((g["n_repos"], g["n_owners"]) == (len(repos[g["hash"]]), len(owners[g["hash"]])) for g in got)
+
+
 # ------------------------------------------------------------------ mixing
 
 
