@@ -10,6 +10,8 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import hashlib
+import random
 import tempfile
 import time
 import uuid
@@ -123,26 +125,43 @@ def text_bytes(df: DataFrame, col: str = "text") -> int:
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-#: Odd, so they have inverses modulo 2**64; another one makes another hash.
-_BASES = [0x9E3779B97F4A7C15 ^ (i * 0x3C6EF372FE94F82A) for i in range(8)]
-_INVERSES = [pow(p, -1, 1 << 64) for p in _BASES]
-_powers: dict[int, np.ndarray] = {}
+#: Primes below 2**31: a product of a residue and a byte's number is below 2**40, so 2**24 of them add up exactly in 64 bits.
+PRIMES = (2147483647, 2147483629)
+#: Bases of the polynomials modulo each prime, by seed; drawn at random, once.
+SEEDS = 8
+_rng = random.Random("bases of polynomials modulo two primes")
+_BASES = [tuple(_rng.randrange(1 << 20, p - 1) for p in PRIMES) for _ in range(SEEDS)]
+#: Base of the rolling hash that only chooses places and tells nothing equal: odd, so it has an inverse modulo 2**64.
+_ROLL = 0x9E3779B97F4A7C15
+_powers: dict[tuple[int, int], np.ndarray] = {}
+_powers_of_none = np.zeros(0, np.uint64)
 
 
-_powers_of_none = np.zeros(0, np.uint64)
+def _modulo(x: np.ndarray, p: int) -> np.ndarray:
+    """``x % p``; numpy divides by a number faster than it takes remainders."""
+    return x - x // np.uint64(p) * np.uint64(p)
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base, _powers_of_none)
+def _power(base: int, n: int, prime: int = 0) -> np.ndarray:
+    """The powers 0 to n - 1 of a base, modulo a prime or else modulo 2**64; they are kept for the next time."""
+    have = _powers.get((base, prime), _powers_of_none)
     if len(have) < n:
-        size = max(n, 1 << 16)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        _powers[base] = have
+        have = np.ones(max(n, 1 << 16), np.uint64)
+        done = 1
+        while done < len(have):
+            step = pow(base, done, prime or 1 << 64)
+            new = have[: len(have) - done][:done] * np.uint64(step)
+            have[done : done + len(new)] = _modulo(new, prime) if prime else new
+            done *= 2
+        if n <= _KEPT:
+            _powers[base, prime] = have
     return have[:n]
 
 
+#: Longer tables of powers are made anew each time: only a word of so many bytes needs them.
+_KEPT = 1 << 23
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers (the finalizer of splitmix64)."""
     x = x.astype(np.uint64, copy=True)
@@ -207,26 +226,52 @@ class Words:
 
 
 def spans_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hashes of ``buf[start:end]`` for many ascending, possibly overlapping spans (polynomial modulo 2**64, scrambled).
+    """64-bit hashes of ``buf[start:end]`` for many ascending, possibly overlapping spans.
 
-    Another ``seed`` (0 to 7) makes another polynomial, so texts that share one hash hardly share the other.
+    Polynomials modulo two primes at random bases, scrambled with the length.  Two different spans of n bytes share one
+    with a chance of (n / 2**31)**2 at most over the choice of the bases, whatever the bytes are; polynomials modulo 2**64
+    would give texts of a certain build one hash at every base.  Another ``seed`` (0 to 7) has other bases, independent of these.
     """
-    base, inverse = _BASES[seed], _INVERSES[seed]
     out = np.empty(len(start), np.uint64)
     i = 0
     while i < len(start):
         lo = int(start[i])
         j = max(i + 1, int(np.searchsorted(start, lo + BLOCK)))
         hi = int(end[j - 1]) if j - i == 1 else int(end[i:j].max())
-        sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum((buf[lo:hi].astype(np.uint64) + np.uint64(1)) * _power(base, hi - lo), out=sums[1:])
+        x = buf[lo:hi].astype(np.uint64) + np.uint64(1)
         a, b = start[i:j] - lo, end[i:j] - lo
-        out[i:j] = (sums[b] - sums[a]) * _power(inverse, hi - lo + 1)[a]
+        both = np.zeros(j - i, np.uint64)
+        for prime, base in zip(PRIMES, _BASES[seed]):
+            sums = _sums(x * _power(base, hi - lo, prime), prime)
+            # the span's own powers begin at 0: by the inverse of the power at its start
+            part = _modulo(_modulo(sums[b] - sums[a], prime) * _power(pow(base, -1, prime), hi - lo + 1, prime)[a], prime)
+            both = (both << np.uint64(31)) | part
+        out[i:j] = both
         i = j
     # the length goes in too: texts of one repeated byte differ in it alone
     return mixed(out + (end - start).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
+def _sums(x: np.ndarray, prime: int) -> np.ndarray:
+    """Running sums from 0 on; a difference of two is right modulo the prime."""
+    sums = np.zeros(len(x) + 1, np.uint64)
+    if len(x) <= 1 << 24:
+        np.cumsum(x, out=sums[1:])
+        return sums
+    for lo in range(0, len(x), 1 << 24):  # one very long span: exact in pieces; later sums stay the larger ones
+        hi = min(len(x), lo + (1 << 24))
+        sums[lo + 1 : hi + 1] = _modulo(np.cumsum(x[lo:hi]) + sums[lo], prime)
+    return np.where(np.arange(len(sums)) > 0, sums + np.uint64(prime) * np.arange(len(sums), dtype=np.uint64), sums)
+
+
+def digests(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests of ``buf[start:end]`` as two arrays of 64 bits: for what counts as equal with no look at its bytes."""
+    data = memoryview(np.ascontiguousarray(buf))
+    got = b"".join([hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist())])
+    both = np.frombuffer(got, "<u8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, hash) of each shingle of k words; a text with fewer words has the whole as its one shingle."""
     at, h = words.windows(k)
@@ -242,14 +287,14 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(buf: np.ndarray, k: int) -> np.ndarray:
-    """Scrambled hashes of the k bytes from each place on that has so many."""
+    """Scrambled hashes of the k bytes from each place on that has so many; to choose places by, not to tell bytes equal."""
     n = max(0, len(buf) - k + 1)
     out = np.empty(n, np.uint64)
     for lo in range(0, n, BLOCK):
         m = min(BLOCK, n - lo)
         sums = np.zeros(m + k, np.uint64)
-        np.cumsum((buf[lo : lo + m + k - 1].astype(np.uint64) + np.uint64(1)) * _power(_BASES[0], m + k - 1), out=sums[1:])
-        out[lo : lo + m] = mixed((sums[k:] - sums[:-k]) * _power(_INVERSES[0], m))
+        np.cumsum((buf[lo : lo + m + k - 1].astype(np.uint64) + np.uint64(1)) * _power(_ROLL, m + k - 1), out=sums[1:])
+        out[lo : lo + m] = mixed((sums[k:] - sums[:-k]) * _power(pow(_ROLL, -1, 1 << 64), m))
     return out
 
 

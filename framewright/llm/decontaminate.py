@@ -6,14 +6,14 @@ shingles, one each s, so a passage of s shingles lies within one block and makes
 the least shingle under each hash function is the same one with a chance p of their overlap by their union: 0.33 for an item
 of s shingles, 0.18 for one of s / 2.  A class has ``HASHES`` functions, or as many more as its smallest item needs, 113 at
 most, so that a contained passage misses all of them with a chance (1 - p) ** hashes of ``MISS`` at most.  Who shares one is
-a candidate; it is verified by exact shingle containment in the whole document.
+a candidate; it is verified by exact shingle containment in the whole document, whose words are compared, not their hashes.
 
 The signatures of the items are small only if the items are few: they are broadcast while their bytes are below a checked
 bound, and beyond it the items are taken in rounds of that size, each over all documents, so memory never grows with them.
 
 Defined results: null or empty texts on either side match nothing; an item of fewer words than a shingle is one shingle
 of all its words; a null item_id is a match as any; repeated rows match each; empty tables give an empty result; further
-columns are not looked at.
+columns are not looked at; a very long document is searched whole, words may be of any length.
 """
 
 from __future__ import annotations
@@ -62,17 +62,36 @@ def _min_hashes(h: np.ndarray, at: np.ndarray, salt: np.uint64) -> np.ndarray:
     return np.minimum.reduceat((h ^ salt) * np.uint64(0x9FB21C651E98DF25), at)
 
 
+def _texts(words: Words, doc: int, k: int) -> set[bytes]:
+    """The distinct shingles of a text as bytes: k words with blanks between, or all words if they are fewer."""
+    a, b = int(words.first[doc]), int(words.first[doc + 1])
+    k = min(k, b - a)
+    buf, start, end = words.buf.tobytes() if b - a == len(words) else None, words.start, words.end
+    if buf is not None:
+        return {buf[start[i] : end[i + k - 1]] for i in range(a, b - k + 1)} if k else set()
+    return {words.buf[start[i] : end[i + k - 1]].tobytes() for i in range(a, b - k + 1)} if k else set()
+
+
 class Items:
-    """Test items: their exact shingle sets by number, and their signatures by size class."""
+    """Test items: their exact shingle sets by number, as hashes and as bytes, and their signatures by size class."""
 
     def __init__(self, ids: list, texts: list[bytes], k: int, hashes: int, contained: float = CONTAINED):
         self.ids, self.k, self.hashes = ids, k, hashes
         words = Words(texts, lower=True)
         doc, h = shingles(words, k)
-        # items shorter than a shingle are looked for as that many words
         n_words = np.diff(words.first)
-        self.short = {int(i): int(n_words[i]) for i in np.flatnonzero((n_words > 0) & (n_words < k))}
-        self.sets = {i: np.unique(h[doc == i]) for i in np.unique(doc).tolist()}
+        cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
+        self.sets = {i: np.unique(h[cuts[i] : cuts[i + 1]]) for i in np.flatnonzero(np.diff(cuts)).tolist()}
+        self.texts = {i: _texts(words, i, k) for i in self.sets}
+        # items shorter than a shingle are looked for as that many words: by their number, the hashes in order and the items
+        few = np.flatnonzero((n_words > 0) & (n_words < k))
+        self.short = {int(i): int(n_words[i]) for i in few}
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in np.unique(n_words[few]).tolist():
+            of = few[n_words[few] == n]
+            one = np.array([self.sets[i][0] for i in of.tolist()], np.uint64)
+            order = np.argsort(one)
+            self.by_length[n] = (one[order], of[order])
         self.classes: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         by = defaultdict(list)
         for i, s in self.sets.items():
@@ -120,17 +139,28 @@ def _find(shared, contained: float):
         at, h = words.windows(items.k)
         doc = np.searchsorted(words.first, at, side="right") - 1
         first = np.searchsorted(doc, np.arange(len(texts) + 1))
-        found = {}
+        by: dict[int, set[int]] = defaultdict(set)
         for d, i in _candidates(items, first, h):
-            if (d, i) not in found:
-                found[d, i] = int(np.isin(items.sets[i], h[first[d] : first[d + 1]]).sum())
-        for i, n in items.short.items():
+            by[d].add(i)
+        for d, some in by.items():
+            # hashes first; who has enough of them is compared by words
+            mine = h[first[d] : first[d + 1]]
+            some = [i for i in some if np.isin(items.sets[i], mine).sum() >= contained * len(items.texts[i])]
+            have = _texts(Words([texts[d]], lower=True), 0, items.k) if some else set()
+            for i in some:
+                if (o := len(items.texts[i] & have)) >= contained * len(items.texts[i]):
+                    yield ids[d], hashes[d], items.ids[i], o, len(items.texts[i])
+        for n, (sought, of) in items.by_length.items():
             w, g = words.windows(n)
-            for d in np.unique(np.searchsorted(words.first, w[g == items.sets[i][0]], side="right") - 1):
-                found[int(d), i] = 1
-        for (d, i), o in found.items():
-            if o >= contained * len(items.sets[i]):
-                yield ids[d], hashes[d], items.ids[i], o, len(items.sets[i])
+            a, b = np.searchsorted(sought, g, "left"), np.searchsorted(sought, g, "right")
+            hit = np.flatnonzero(b > a)
+            doc = np.searchsorted(words.first, w[hit], side="right") - 1
+            pairs = set()
+            for p, d in zip(hit.tolist(), doc.tolist()):
+                said = words.buf[words.start[w[p]] : words.end[w[p] + n - 1]].tobytes()
+                pairs |= {(d, i) for i in of[a[p] : b[p]].tolist() if said in items.texts[i]}
+            for d, i in pairs:
+                yield ids[d], hashes[d], items.ids[i], 1, 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value

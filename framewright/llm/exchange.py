@@ -87,7 +87,7 @@ def unpack(block: bytes) -> list[np.ndarray]:
 class Plan:
     """How hashes are dealt: ``bits`` to buckets, the next ``width`` bytes as what identifies an item in its bucket.
 
-    Where 64 bits are too few for so many items, ``check`` adds 32 of a second hash.
+    Where 64 bits are too few for so many items, ``check`` adds 32 of a second hash, between chunks and within one.
     """
 
     bits: int
@@ -132,11 +132,6 @@ class Docs:
     text_hash: np.ndarray
     first: np.ndarray
 
-    @property
-    def tag(self) -> np.ndarray:
-        """Tells texts of one doc_id apart."""
-        return (self.text_hash & 0x7FFFFFFF).astype(np.int32)
-
     def of(self, position: np.ndarray) -> np.ndarray:
         """Number of the document at a position of the chunk."""
         return np.searchsorted(self.first, position, side="right") - 1
@@ -170,12 +165,14 @@ def chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) -> Iterat
 NO_ID = (1 << 63) - 1
 
 
-def first_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def first_of(h: np.ndarray, check: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the first occurrence of each distinct item, and for each position the first one's."""
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h, kind="stable") if check is None else np.lexsort((check, h))  # both are stable
     s = h[order]
     new = np.ones(len(s), bool)
     new[1:] = s[1:] != s[:-1]
+    if check is not None:
+        new[1:] |= check[order][1:] != check[order][:-1]
     heads = order[new]
     rep = np.empty(len(h), np.int64)
     rep[order] = np.repeat(heads, np.diff(np.append(np.flatnonzero(new), len(s))))
@@ -186,12 +183,13 @@ def blocks(plan: Plan, chunk: int, docs: Docs, position: np.ndarray, h: np.ndarr
     """(bucket, chunk, block) rows of one chunk: the buckets' entries, then the chunk's own block.
 
     ``position`` (ascending) and ``h`` are the items.  A block has the entries' positions and keys; with ``places`` the
-    ids, first positions and tags of their documents and each entry's document among these, else four empty arrays; a
+    ids, first positions and text hashes of their documents and each entry's document among these, else four empty arrays; a
     number for each, from ``times`` or, if that is True, how often the chunk has the item; ``kind``, which tells apart
     the items that one chunk sends of two sorts; and the items' second hashes, if ``check`` has them.  The own block has the documents and, for each item that is no first
     occurrence, (position, position of the first).
     """
-    heads, rep = first_of(h)
+    check = None if check is None else check.astype(np.uint32)
+    heads, rep = first_of(h, check)
     heads.sort()
     bucket, key = plan.keys(h[heads])
     if times is True:
@@ -206,8 +204,8 @@ def blocks(plan: Plan, chunk: int, docs: Docs, position: np.ndarray, h: np.ndarr
         who = (none,) * 4
         if places:
             used, which = np.unique(docs.of(p), return_inverse=True)
-            who = (docs.ids[used], docs.first[used], docs.tag[used], which)
-        yield int(b), chunk, pack(p, plan.narrow(key[at]), *who, none if times is False else times[i], np.array([kind]), none if check is None else check[i].astype(np.uint32).astype(np.int64))
+            who = (docs.ids[used], docs.first[used], docs.text_hash[used], which)
+        yield int(b), chunk, pack(p, plan.narrow(key[at]), *who, none if times is False else times[i], np.array([kind]), none if check is None else check[i].astype(np.int64))
     other = np.flatnonzero(rep != np.arange(len(h)))
     yield chunk % plan.buckets, chunk, OWN[kind] + pack(docs.ids, docs.text_hash, docs.first, position[other], position[rep[other]])
 

@@ -4,12 +4,15 @@ Every window of k words is an edge of the De Bruijn graph, from its first k - 1
 documents meet by hash (:mod:`exchange`), which gives each its source: the smallest document that it starts in, and the
 place there.  Along a document, edges that follow each other in their source as well compact to one path; only paths, not
 edges, become rows.  A Spark join brings the distinct paths to the texts of their sources, and their exact words are
-compared through 128-bit digests with those of the document.  Should a path fail, the exchange is run again with other
-and longer hashes, so equal hashes alone never remove a word.
+compared through 128-bit digests with those of the document.  Should a path fail, the exchange is run again on 96 bits of
+the windows' own digests, so equal polynomials alone never remove a word.
+
+A text is told by its id and the whole of its 64-bit hash, so texts without an id don't get each other's paths.  Spans
+that a popular source is asked for go to its text in parts of ``ASKS``, so no row has more of them.
 
 Defined results: null text has no words; a null doc_id counts as larger than all others; rows with the same doc_id never
 remove words from each other; repeated rows each get the same result; windows are judged on the input; an empty table
-gives an empty table; further columns are not looked at.
+gives an empty table; further columns are not looked at.  A very long text is a chunk of its own; words may be of any length.
 """
 
 from __future__ import annotations
@@ -22,24 +25,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, lean, released, written
+from .common import Words, digests, lean, released, written
 from .exchange import NO_ID, Docs, Plan, alike, blocks, exchange, groups, pack, with_text
 
 K = 13
-_PATHS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("src", pa.list_(pa.int64())), ("src_tag", pa.list_(pa.int32())), ("src_start", pa.list_(pa.int32()))])
+#: Spans of one source that one row asks for.
+ASKS = 10_000
+_PATHS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("src", pa.list_(pa.int64())), ("src_tag", pa.list_(pa.int64())), ("src_start", pa.list_(pa.int32()))])
 
 
 def _emit(k: int, attempt: int):
     def emit(plan: Plan, chunk: int, ids: np.ndarray, hashes: np.ndarray, texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
         words = Words(texts)
-        at, h = words.windows(k, 2 * attempt)
-        return blocks(plan, chunk, Docs(ids, hashes, words.first), at, h, check=words.windows(k, 2 * attempt + 1)[1] if plan.check else None)
+        at, h = words.windows(k)
+        check = None
+        if attempt:
+            h, check = digests(words.buf, words.start[at], words.end[at + k - 1])
+        elif plan.check:
+            check = words.windows(k, 1)[1]
+        return blocks(plan, chunk, Docs(ids, hashes, words.first), at, h, check=check)
 
     return emit
 
 
 def sources(plan: Plan, bucket: int, sent: list[list[np.ndarray]]) -> Iterator[bytes | None]:
-    """For each chunk's entries that start in a smaller document too: (position, source document, its tag, place in it)."""
+    """For each chunk's entries that start in a smaller document too: (position, number of its source, place in it), and
+    the sources' ids and text hashes."""
     sizes = [len(x[0]) for x in sent]
     order, starts = groups(*alike(plan, sent)[1:])
     pos = np.concatenate([x[0] for x in sent])[order]
@@ -56,7 +67,14 @@ def sources(plan: Plan, bucket: int, sent: list[list[np.ndarray]]) -> Iterator[b
     cuts = np.searchsorted(block[hit], np.arange(len(sent) + 1))
     for a, b in zip(cuts[:-1], cuts[1:]):
         i = hit[a:b]
-        yield pack(pos[i], src[i], src_tag[i], src_place[i] - pos[i]) if len(i) else None
+        # ascending by source, so a source's entries lie together
+        own = np.lexsort((src_tag[i], src[i]))
+        s, t = src[i][own], src_tag[i][own]
+        new = np.ones(len(i), bool)
+        new[1:] = (s[1:] != s[:-1]) | (t[1:] != t[:-1])
+        which = np.empty(len(i), np.int64)
+        which[own] = np.cumsum(new) - 1
+        yield pack(pos[i], which, src_place[i] - pos[i], s[new], t[new]) if len(i) else None
 
 
 def _paths(docs: Docs, own: list[np.ndarray], answers: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -64,13 +82,13 @@ def _paths(docs: Docs, own: list[np.ndarray], answers: list[list[np.ndarray]]) -
     n = int(docs.first[-1])
     src, tag, place = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64)
     known = np.zeros(n, bool)
-    for pos, s, t, off in answers:
-        src[pos], tag[pos], place[pos], known[pos] = s, t, off + pos, True
+    for pos, which, off, s, t in answers:
+        src[pos], tag[pos], place[pos], known[pos] = s[which], t[which], off + pos, True
     other, rep = own
     if len(other):  # repeats inside the chunk: their source is the first one's, or the first one itself
         d = docs.of(rep)
         src[other] = np.where(known[rep], src[rep], docs.ids[d])
-        tag[other] = np.where(known[rep], tag[rep], docs.tag[d])
+        tag[other] = np.where(known[rep], tag[rep], docs.text_hash[d])
         place[other] = np.where(known[rep], place[rep], rep - docs.first[d])
         known[other] = True
     at = np.flatnonzero(known)
@@ -93,13 +111,13 @@ def _paths(docs: Docs, own: list[np.ndarray], answers: list[list[np.ndarray]]) -
 
 def repeated_paths(docs: DataFrame, plan: Plan, k: int, attempt: int = 0) -> DataFrame:
     """``doc_id, text_hash, start, n, src, src_tag, src_start`` (arrays: n edges each) of documents that repeat earlier ones."""
-    return exchange(docs, plan, _emit(k, attempt), sources, _paths, "doc_id long, text_hash long, start array<int>, n array<int>, src array<long>, src_tag array<int>, src_start array<int>")
+    return exchange(docs, plan, _emit(k, attempt), sources, _paths, "doc_id long, text_hash long, start array<int>, n array<int>, src array<long>, src_tag array<long>, src_start array<int>")
 
 
-_OUT = "doc_id long, text_hash long, n_words long, n_removed long, kept_sha256 string, kept string, checks array<struct<src:long,tag:int,start:int,n:int,digest:binary>>, asked array<struct<start:int,n:int,digest:binary>>"
+_OUT = "doc_id long, text_hash long, part int, n_words long, n_removed long, kept_sha256 string, kept string, checks array<struct<src:long,tag:long,start:int,n:int,digest:binary>>, asked array<struct<start:int,n:int,digest:binary>>"
 _OUT_ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())]
-    + [("checks", pa.list_(pa.struct([("src", pa.int64()), ("tag", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("digest", pa.binary())]))), ("asked", pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("digest", pa.binary())])))]
+    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("part", pa.int32()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())]
+    + [("checks", pa.list_(pa.struct([("src", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("digest", pa.binary())]))), ("asked", pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("digest", pa.binary())])))]
 )
 
 
@@ -131,13 +149,13 @@ def _resolve(k: int, texts: bool):
                     kept = w.buf[: int(w.end[-1])].tobytes() if len(w) else b""
                 checks = [{"src": s, "tag": g, "start": p, "n": m, "digest": digest(w, a, m)} for a, m, s, g, p in zip(start, n, *(col[c][i].as_py() or [] for c in ("src", "src_tag", "src_start")))]
                 asked = [{"start": x["start"], "n": x["n"], "digest": digest(w, x["start"], x["n"])} for x in col["ask"][i].as_py() or []]
-                rows.append((col["doc_id"][i].as_py(), col["text_hash"][i].as_py(), len(w), int((~keep).sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if texts else None, checks, asked))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [[]] * 8, _OUT_ARROW)], schema=_OUT_ARROW)
+                rows.append((col["doc_id"][i].as_py(), col["text_hash"][i].as_py(), col["part"][i].as_py(), len(w), int((~keep).sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if texts else None, checks, asked))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [[]] * 9, _OUT_ARROW)], schema=_OUT_ARROW)
 
     return run
 
 
-def substring_dedup(docs: DataFrame, k: int = K, texts: bool = False, attempt: int = 0) -> DataFrame:
+def substring_dedup(docs: DataFrame, k: int = K, texts: bool = False, attempt: int = 0, asks: int = ASKS) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of each row of ``docs(doc_id, text)``; with ``texts``, also ``kept``.
 
     A word goes if a window of k words that covers it also starts in a document of a smaller id.
@@ -149,21 +167,25 @@ def substring_dedup(docs: DataFrame, k: int = K, texts: bool = False, attempt: i
         plan.width, plan.check = 8, True
     paths = written(repeated_paths(rows, plan, k, attempt), "paths")
     released(docs.sparkSession)
-    tag = lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")  # noqa: E731  as Docs.tag
     # what each text is asked for: its own paths, and the spans that are sources of others
     asked = paths.select(F.explode(F.arrays_zip("src", "src_tag", F.col("src_start").alias("start"), "n")).alias("x")).select("x.*").distinct()
-    ask = asked.groupBy(F.col("src").alias("_d"), F.col("src_tag").alias("_t")).agg(F.collect_list(F.struct("start", "n")).alias("ask"))
-    own = paths.select(F.col("doc_id").alias("_d"), tag(F.col("text_hash")).alias("_t"), F.struct("start", "n", "src", "src_tag", "src_start").alias("own"))
+    asked = written(asked.select(F.col("src").alias("_d"), F.col("src_tag").alias("_t"), "start", "n"), "asked")
+    many = asked.groupBy("_d", "_t").agg(F.count("*").alias("_n")).filter(F.col("_n") > asks).withColumn("_parts", F.ceil(F.col("_n") / asks).cast("int"))
+    dealt = asked.join(many, ["_d", "_t"], "left").withColumn("part", F.pmod(F.xxhash64("start", "n"), F.coalesce("_parts", F.lit(1))).cast("int"))
+    ask = dealt.groupBy("_d", "_t", "part").agg(F.collect_list(F.struct("start", "n")).alias("ask"))
+    own = paths.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.lit(0).alias("part"), F.struct("start", "n", "src", "src_tag", "src_start").alias("own"))
     request = own.withColumn("ask", F.lit(None).cast(ask.schema["ask"].dataType)).unionByName(ask.withColumn("own", F.lit(None).cast(own.schema["own"].dataType)))
-    request = request.groupBy("_d", "_t").agg(F.first("own", True).alias("own"), F.first("ask", True).alias("ask"))
-    keyed = rows.withColumns({"_d": F.coalesce("doc_id", F.lit(NO_ID)), "_t": tag(F.col("text_hash"))})
-    joined = keyed.join(request, ["_d", "_t"], "left")
-    out = written(joined.select("doc_id", "text_hash", "text", "own.start", "own.n", "own.src", "own.src_tag", "own.src_start", "ask").mapInArrow(_resolve(k, texts), _OUT), "resolved")
+    # a source that is asked in parts has a part 0 for its own row, whatever falls into it
+    request = request.unionByName(many.select("_d", "_t", F.lit(0).alias("part"), F.lit(None).cast(own.schema["own"].dataType).alias("own"), F.lit(None).cast(ask.schema["ask"].dataType).alias("ask")))
+    request = request.groupBy("_d", "_t", "part").agg(F.first("own", True).alias("own"), F.first("ask", True).alias("ask"))
+    keyed = rows.withColumns({"_d": F.coalesce("doc_id", F.lit(NO_ID)), "_t": F.col("text_hash")})
+    joined = keyed.join(request, ["_d", "_t"], "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    out = written(joined.select("doc_id", "text_hash", "part", "text", "own.start", "own.n", "own.src", "own.src_tag", "own.src_start", "ask").mapInArrow(_resolve(k, texts), _OUT), "resolved")
     checks = out.select(F.explode("checks").alias("c")).select("c.*").distinct()
-    found = out.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("src"), tag(F.col("text_hash")).alias("tag"), F.explode("asked").alias("a")).select("src", "tag", "a.*").distinct()
+    found = out.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("src"), F.col("text_hash").alias("tag"), F.explode("asked").alias("a")).select("src", "tag", "a.*").distinct()
     failed = checks.join(found, ["src", "tag", "start", "n", "digest"], "left_anti")
     if not failed.isEmpty():
-        if attempt == 3:
-            raise RuntimeError("different windows share their hashes in each of four ways")
-        return substring_dedup(docs, k, texts, attempt + 1)
-    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if texts else []))
+        if attempt:
+            raise RuntimeError("different windows share 96 bits of their digests")
+        return substring_dedup(docs, k, texts, attempt + 1, asks)
+    return out.filter("part = 0").select("doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if texts else []))

@@ -15,12 +15,12 @@ hundreds of times, so suffixes are sampled where their content says so, and only
    contexts to the left, how far each suffix's repeats reach on either side.
 4. The reaches become spans of documents, and a join with the texts removes them.
 
-The bytes themselves are compared in step 3; in step 2 a context counts as repeated if its hash is, with no look at
-its bytes.  Of the 64 bits the plan keeps ``bits + 8 * width``, fewer for less text, so that any two different ones share
-them with a chance below one in a hundred a run; where so many anchors need them, 32 of a second hash are added.
+The bytes themselves are compared in step 3; in step 2 a context counts as repeated if 96 bits of its cryptographic digest
+are, which different contexts of any build share with a chance of some in 10**16 among 10**6 million of them.
 
 Defined results: null text is empty; repeated rows are repeats of each other; a null doc_id is kept as null; overlapping
-repeats in one document count; an empty table gives an empty table; further columns are not looked at.
+repeats in one document count; an empty table gives an empty table; further columns are not looked at.  A very long text is a
+chunk of its own.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import grams, lean, released, sliding_min, spans_hash, written
+from .common import digests, grams, lean, released, sliding_min, spans_hash, written
 from .exchange import NO_ID, Docs, Plan, alike, blocks, dealt_to, exchange, first_of, pack, unpack, with_text
 
 SIZE = 400
@@ -85,10 +85,11 @@ def _emit(size: int, k: int):
             return
         d = docs.of(at)
         lo, hi = np.maximum(at - (size - k), first[d]), np.minimum(at + size, first[d + 1])
-        context = spans_hash(buf, lo, hi) ^ ((at - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        context, second = digests(buf, lo, hi)
+        context ^= (at - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         # of each gram, how many contexts the chunk has
-        kinds = np.bincount(first_of(gram)[1][first_of(context)[0]], minlength=len(at))
-        yield from blocks(plan, chunk, docs, at, context, times=True, places=False, check=spans_hash(buf, lo, hi, 1) if plan.check else None)
+        kinds = np.bincount(first_of(gram)[1][first_of(context, second.astype(np.uint32))[0]], minlength=len(at))
+        yield from blocks(plan, chunk, docs, at, context, times=True, places=False, check=second)
         yield from blocks(plan, chunk, docs, at, gram, times=kinds, places=False, kind=1)
 
     return emit
@@ -174,7 +175,7 @@ def _emit_strings(size: int, k: int):
                 starts.append(np.arange(max(0, p - (size - k)), min(p, len(text) - size) + 1) + base)
         at = np.unique(np.concatenate(starts))
         buf = np.frombuffer(b"".join(t for _, t in parts), np.uint8)
-        return blocks(plan, chunk, Docs(ids, hashes, first), at, spans_hash(buf, at, at + size), times=True, places=False, check=spans_hash(buf, at, at + size, 1) if plan.check else None)
+        return blocks(plan, chunk, Docs(ids, hashes, first), at, spans_hash(buf, at, at + size), times=True, places=False, check=spans_hash(buf, at, at + size, 1))
 
     return emit
 
@@ -520,6 +521,7 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, texts: boo
     rows = with_text(docs)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     plan = Plan.of(4 * total // (size - gram + 2), spark)
+    plan.width = 8
     marked = written(exchange(rows, plan, _emit(size, gram), _answers, _marked(most), "doc_id long, text_hash long, marks binary, hot boolean"), "marks")
     released(spark)
     mine = marked.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "marks", "hot")
@@ -536,6 +538,7 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, texts: boo
         some = written(keyed.join(hot, ["_id", "_h"]).select(F.col("_id").alias("doc_id"), F.col("_h").alias("text_hash"), around.alias("text")), "hot")
         by_hash = Plan.of(some.agg(F.sum(F.octet_length("text"))).first()[0] or 0, spark)
         by_hash.chunk_bytes //= 4
+        by_hash.width = 8
         reach = reach.unionByName(exchange(some, by_hash, _emit_strings(size, gram), _repeated, _string_spans(size), kind))
     spans = reach.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
     # rows that are equal in id and text have equal marks, but for who is whose witness: either way all is repeated

@@ -83,6 +83,40 @@ def test_words_wrong_hash_is_caught(docs_of, monkeypatch):
     assert len(calls) == 2
 
 
+def test_words_twins_and_texts_without_ids(docs_of):
+    """Windows that no polynomial modulo 2 ** 64 tells apart; and many texts without an id, each with its own paths."""
+    from test_similar import twins
+
+    rng = random.Random(14)
+    common = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{common} {twins()[0]}"), (2, f"{common} {twins()[1]}"), (3, f"{common} other"), (4, f"{common} {twins()[1]}")]
+    rows += [(None, " ".join(rng.choice("abc") for _ in range(rng.randrange(40)))) for _ in range(80)]
+    docs = docs_of(rows).repartition(3)
+    assert tuples(substring_dedup.substring_dedup(docs), W) == words_by_hand(rows, 13)
+    # digests in place of polynomials, as after a failure; sources that are asked in parts
+    assert tuples(substring_dedup.substring_dedup(docs, k=3, attempt=1, asks=2), W) == words_by_hand(rows, 3)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_hashes_of_all_seeds(seed):
+    """Equal spans have equal hashes wherever they stand, also behind a very long one; twins and lengths differ."""
+    from test_similar import twins
+
+    from framewright.llm import common
+
+    a, b = (np.frombuffer(t.encode(), np.uint8) for t in twins())
+    buf = np.concatenate([a, b, a, np.zeros(1 << 21, np.uint8), b[:70], np.zeros(1 << 21, np.uint8)])
+    start = np.array([0, 1024, 2048, 3072, 3072 + (1 << 21), 3142 + (1 << 21)])
+    end = np.array([1024, 2048, 3072, 3072 + (1 << 21), 3142 + (1 << 21), 3141 + (1 << 22)])
+    h = common.spans_hash(buf, start, end, seed)
+    assert h[0] == h[2] != h[1] and h[3] != h[5] and len(set(h.tolist())) == 5
+    assert h[4] == common.spans_hash(b, np.array([0]), np.array([70]), seed)[0]
+    assert h[0] != common.spans_hash(buf, start, end, (seed + 1) % 8)[0]
+    long = np.concatenate([np.arange(7, dtype=np.uint8)] + [np.tile(buf, 5)] * 2)
+    n = 5 * len(buf)
+    assert n > 1 << 24 and len(set(common.spans_hash(long, np.array([7, 7 + n]), np.array([7 + n, 7 + 2 * n]), seed).tolist())) == 1
+
+
 def bytes_by_hand(rows, size):
     parts = [(d, (t or "").encode()) for d, t in rows]
     seen = Counter(b[i : i + size] for _, b in parts for i in range(len(b) - size + 1))

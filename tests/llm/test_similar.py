@@ -223,3 +223,22 @@ def test_leaks_edges(spark, docs_of):
     bad = {x[0] for x in leaks_by_hand(docs, items)}
     assert clean.columns == d.columns and {r["doc_id"] for r in clean.collect()} == {x[0] for x in docs if x[0] not in bad}
     assert decontaminate.leaks(docs_of([]), b).count() == 0 and decontaminate.leaks(d, b.limit(0)).count() == 0
+
+
+# ------------------------------------------------------------------ words that share their polynomials modulo 2 ** 64
+
+
+def twins(n=10):
+    """Two words of 2 ** n letters a and b, complements of each other, that no polynomial modulo 2 ** 64 tells apart from n = 10 on."""
+    a = "a"
+    for _ in range(n):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_twins_are_different(spark, docs_of):
+    a, b = twins()
+    assert sorted(r["component_id"] for r in ngram_join.ngram_join(docs_of([(1, a), (2, b)])).collect()) == [1, 2]
+    items = spark.createDataFrame([(7, a), (8, f"one two three {b} five six")], "item_id long, text string")
+    docs = [(1, f"x {a} y"), (2, f"x {b} y"), (3, f"x one two three {a} five six"), (4, f"x one two three {b} five six")]
+    assert found_rows(decontaminate.leaks(docs_of(docs), items)) == sorted([(1, 7, 1, 1), (3, 7, 1, 1), (4, 8, 2, 2)], key=str)
