@@ -8,12 +8,19 @@
 4. In a task the sets are joined exactly.  The index lists are cut in blocks by position; blocks whose position leaves too
    little room for the overlap are skipped.  A set that is highly similar to one already answered derives its answers from
    that one's: |x & y| lies within what x and z differ in of |z & y|, so many partners are accepted or rejected unread.
-   Every link is emitted; where only components are asked for (``spanning``), partners of one already are skipped.
-5. Connected components of the links, and each document's number of links, where a class counts for all its documents.
+   Every link is found and counted for both its sets; what leaves the task are these counts, a row a set, and the links
+   that span its components, as the links of a group of near copies grow with its square.  Where only components are asked
+   for (``spanning``), partners of one already are skipped.
+5. Connected components of the spanning links, and each document's number of links, where a class counts for all its
+   documents.  Nodes are ordered by doc_id, so a component's root tells its smallest one.
+
+Two shingles count as one if the bits of their hashes that the exchange's plan keeps are the same (62 of 64 up to some GB,
+94 beyond): different ones do with a chance below one in a hundred for any two of the whole corpus.
 
 Defined results: null text and text without words has 0 shingles and no links; fewer words than k are one shingle; a null
 doc_id is nobody's smallest, and its component_id is null if it links with nothing; repeated rows link with each other; an
-empty table gives an empty table; further columns are not looked at.
+empty table gives an empty table; further columns are not looked at.  A very long text is a chunk of its own, and its set
+one row; words may be of any length.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, fresh, lean, released, shingles, written
@@ -100,7 +107,7 @@ def _candidates(percent: int):
         cols: tuple[list, ...] = ([], [], [], [], [])
         for i in range(len(n)):
             same = tokens = None
-            node = struct.pack(">qq", int(docs.ids[i]), int(docs.text_hash[i]))
+            node = struct.pack(">Qq", int(docs.ids[i]) + (1 << 63), int(docs.text_hash[i]))
             if may[i]:
                 mine = t[cuts[i] : cuts[i + 1]]
                 tokens = pack(mine.view("V8"), d[cuts[i] : cuts[i + 1]])
@@ -213,7 +220,8 @@ def join_local(sets: list[list[int]], sizes: list[int], percent: int, side: list
 
 
 _MEET = ["cc", "i", "j"]
-_LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("of_a", pa.int64()), ("of_b", pa.int64()), ("spans", pa.bool_())])
+#: A link that spans, or with no ``b`` the number of documents that those of ``a`` link with here.
+_LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64())])
 
 
 def _join(percent: int, spanning: bool):
@@ -223,9 +231,14 @@ def _join(percent: int, spanning: bool):
         sets = [np.frombuffer(unpack(r["tokens"])[0].tobytes(), "<i8").tolist() for r in rows]
         cross = rows[0]["i"] != rows[0]["j"]
         known = [r["known"] for r in rows] if cross and spanning else None
-        uf = Union(len(rows))
+        uf, linked = Union(len(rows)), [0] * len(rows)
         for a, b in join_local(sets, [r["n"] for r in rows], percent, [r["b"] for r in rows] if cross else None, known, spanning=spanning):
-            yield rows[a]["node"], rows[b]["node"], rows[a]["m"], rows[b]["m"], uf.join(a, b)
+            linked[a] += rows[b]["m"]
+            linked[b] += rows[a]["m"]
+            if uf.join(a, b):
+                yield rows[a]["node"], rows[b]["node"], None
+        if not spanning:
+            yield from ((r["node"], None, n) for r, n in zip(rows, linked) if n)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         key, rows = None, []
@@ -250,13 +263,12 @@ def _join(percent: int, spanning: bool):
 
 def _meet(dealt: DataFrame, percent: int, spanning: bool) -> DataFrame:
     cols = dealt.select(*_MEET, "b", "node", "n", "m", "tokens", "known")
-    return cols.repartition(*_MEET).sortWithinPartitions(*_MEET).mapInArrow(_join(percent, spanning), "a binary, b binary, of_a long, of_b long, spans boolean")
+    return cols.repartition(*_MEET).sortWithinPartitions(*_MEET).mapInArrow(_join(percent, spanning), "a binary, b binary, n long")
 
 
 def links(reps: DataFrame, percent: int, group: int = GROUP, spanning: bool = False) -> DataFrame:
-    """``a, b, of_a, of_b, spans``: each link between ``reps(node, n, m, tokens)`` once, and the ``m`` of both.
-
-    Those that ``spans`` is true of span each component; with ``spanning``, no more than such are looked for.
+    """``a, b, n``: links between ``reps(node, n, m, tokens)`` that span each component, and rows without ``b``, whose ``n`` add
+    up to the ``m`` of all that a node links with; with ``spanning``, none of these.
     """
     post = written(reps.select("node", "n", "tokens").mapInArrow(_postings(percent), "token long, node binary"), "postings")
     first = post.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a != z").select("token", "a")
@@ -271,7 +283,7 @@ def links(reps: DataFrame, percent: int, group: int = GROUP, spanning: bool = Fa
     wide = mine.filter("blocks > 1").withColumn("known", F.lit(0).cast("long"))
     if spanning:
         within = written(within, "links")
-        known = components(within).select("node", F.xxhash64("root").alias("known"))
+        known = components(within.select("a", "b")).select("node", F.xxhash64("root").alias("known"))
         wide = wide.drop("known").join(known, "node", "left").withColumn("known", F.coalesce("known", F.xxhash64("node")))
     other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("b"))
     dealt = wide.withColumn("other", F.explode(other)).withColumns({"i": F.least("b", "other"), "j": F.greatest("b", "other")})
@@ -286,37 +298,39 @@ def ngram_join(docs: DataFrame, k: int = K, percent: int = 75, group: int = GROU
     Two documents link if 100 * |x & y| >= percent * |x | y| for their sets of distinct lower-cased k-word shingles.
     """
     rows = with_text(docs)
-    # a few shingles of the whole corpus may share a key: their counts are too high then, which moves them in the order of
-    # shingles and no more; that two sets to be compared hold such a pair takes a chance of some in 2 ** 40
-    plan = Plan.of((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 5, docs.sparkSession, spare=-2)
+    plan = Plan.of((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 5, docs.sparkSession)
     sets = written(exchange(rows, plan, _emit(k), _counted, _candidates(percent), "doc_id long, node binary, n long, set binary, tokens binary"), "sets")
     released(docs.sparkSession)
     some = sets.filter(F.col("set").isNotNull())
-    reps = written(some.groupBy("set").agg(F.min_by(F.struct("node", "n", "tokens"), F.coalesce("doc_id", F.lit(NO_ID))).alias("r"), F.min("doc_id").alias("least"), F.count("*").alias("m")).select("set", "least", "m", "r.*"), "classes")
+    reps = written(some.groupBy("set").agg(F.min_by(F.struct("node", "n", "tokens"), "node").alias("r"), F.count("*").alias("m")).select("set", "m", "r.*"), "classes")
     linked = links(reps, percent, group, spanning)
     linked = linked if spanning else written(linked, "links")
-    roots = components(linked if spanning else linked.filter("spans"))
-    of = reps.select("set", "node", "least", "m").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    roots = components(linked.filter(F.col("b").isNotNull()).select("a", "b"))
+    of = reps.select("set", "node", "m").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     counted = [] if spanning else ["n_links"]
     if not spanning:
         # a link between classes links each document of the one with each of the other; those of one class link too
-        ends = linked.select(F.col("a").alias("node"), F.col("of_b").alias("m")).unionByName(linked.select(F.col("b").alias("node"), F.col("of_a").alias("m")))
-        of = of.join(ends.groupBy("node").agg(F.sum("m").alias("others")), "node", "left").withColumn("n_links", F.coalesce("others", F.lit(0)) + F.col("m") - 1)
-    classes = of.join(smallest, "root").select("set", "component_id", *counted, F.col("root").alias("component"))
+        others = linked.filter(F.col("b").isNull()).groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+        of = of.join(others, "node", "left").withColumn("n_links", F.coalesce("others", F.lit(0)) + F.col("m") - 1)
+    least = F.nullif(_number("root", 1).bitwiseXOR(F.lit(-(1 << 63))), F.lit(NO_ID))
+    classes = of.select("set", least.alias("component_id"), *counted, F.col("root").alias("component"))
     out = some.select("doc_id", "n", "node", "set").join(classes, "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *counted, "node", "component")
     alone = sets.filter(F.col("set").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *[F.lit(0).cast("long").alias(c) for c in counted], "node", F.col("node").alias("component"))
     return out.unionByName(alone)
 
 
+def _number(col: str, at: int) -> Column:
+    """The 8 bytes of a node from a place on, as a long."""
+    return F.conv(F.hex(F.substring(col, at, 8)), 16, -10).cast("long")
+
+
 def one_of_each(docs: DataFrame, joined: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: one of each component, of the smallest doc_id.
 
     The row number after the join needs no further exchange, as it is dealt by the same two columns.
     """
     i, h, nth = fresh(docs, "_id", "_h", "_nth")
-    first = joined.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias(i), F.col("node").alias("node"))).alias("x")).select("x.*")
+    first = joined.filter("node = component").select(F.coalesce("doc_id", F.lit(NO_ID)).alias(i), _number("node", 9).alias(h)).distinct()
     rows = docs.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), h: F.xxhash64(F.coalesce("text", F.lit("")))})
-    stays = first.select(i, F.conv(F.hex(F.substring("node", 9, 8)), 16, -10).cast("long").alias(h))
-    kept = rows.join(stays, [i, h])
+    kept = rows.join(first, [i, h])
     return kept.withColumn(nth, F.row_number().over(Window.partitionBy(i, h).orderBy(F.lit(0)))).filter(F.col(nth) == 1).select(*docs.columns)
