@@ -212,15 +212,65 @@ def test_mixing_bins_meet_the_rest(docs_of, n):
     assert sum(r["taken"] for r in got) == 15 * n and sorted(r["copies"] for r in got) == [1] * (n // 2) + [2] * (n // 2)
 
 
-def test_mixing_is_unbiased(docs_of):
-    """Within a source, each document's chance is the same whatever its size."""
-    docs = docs_of([(i, "w " * (1 + i % 7), "en", "abc"[i % 3]) for i in range(300)])
-    taken = np.zeros(300)
-    for seed in range(12):
-        for r in mixing.mix(docs, seed=seed).collect():
-            taken[r["doc_id"]] += r["copies"]
-    share = pd.Series(taken / 12).groupby([i % 3 for i in range(300)]).mean()
-    assert share[0] > share[2] > share[1]
+def chances_by_hand(sizes, rest):
+    """Inclusion probability by document: proportional to size, those that reach one certain, until none is above."""
+    certain = set()
+    while True:
+        left, squares = rest - sum(sizes[i] for i in certain), sum(s * s for i, s in enumerate(sizes) if i not in certain)
+        p = [1.0 if i in certain else left * s / squares if squares else 0.0 for i, s in enumerate(sizes)]
+        if not (new := {i for i, x in enumerate(p) if i not in certain and x >= 1}):
+            return p
+        certain |= new
+
+
+def test_mixing_inclusion_follows_the_probabilities(docs_of):
+    """Certain documents are always in; the others as often as their size says; their expected words are the rest."""
+    rng = random.Random(15)
+    size = [rng.choice([1, 2, 3, 5, 9, 400]) if i % 40 else 900 for i in range(240)]
+    docs = docs_of([(i, "w " * n, "en", "ab"[i % 2]) for i, n in enumerate(size)])
+    extra, runs = np.zeros(240), 24
+    for seed in range(runs):
+        got = {r["doc_id"]: r for r in mixing.mix(docs, weights=(4, 1), seed=seed).collect()}
+        for i in range(240):
+            extra[i] += got[i]["copies"] - int(got[i]["target"] / got[i]["source_size"] + 1e-12)
+    for s in (0, 1):
+        ids = list(range(s, 240, 2))
+        r = got[s]
+        rest = r["target"] % r["source_size"] if r["target"] < 2 * r["source_size"] else 0.0
+        want = chances_by_hand([size[i] for i in ids], rest)
+        assert [got[i]["p"] for i in ids] == pytest.approx(want) and sum(p * size[i] for p, i in zip(want, ids)) == pytest.approx(rest)
+        for n in set(size):
+            of = [(extra[i], p) for p, i in zip(want, ids) if size[i] == n]
+            if of:
+                share, p = sum(x for x, _ in of) / runs / len(of), of[0][1]
+                assert share == p if p in (0, 1) else abs(share - p) < 4.5 * (p * (1 - p) / runs / len(of)) ** 0.5 + 0.03
+
+
+@pytest.mark.parametrize("bins", [1, 8, 1 << 14])
+def test_mixing_takes_the_documents_that_a_plain_run_takes(spark, docs_of, bins):
+    """The same order and cut in Python, over whole sources, ties and repeated rows among them."""
+    rng = random.Random(16)
+    rows = [(rng.choice([None, *range(90)]), " ".join("w" * rng.choice([0, 1, 1, 4, 7, 60])) or None, "en", rng.choice([None, "x", "y", "é"])) for _ in range(300)]
+    docs = docs_of(rows)
+    u = {(r["doc_id"], r["text"]): r["u"] for r in docs.select("doc_id", "text", mixing._uniform(F.xxhash64(F.lit(5), F.col("doc_id"), F.coalesce("text", F.lit("")))).alias("u")).collect()}
+    by = defaultdict(list)
+    for d, t, _, s in rows:
+        by[s].append((d, len(re.findall(r"\S+", t or "")), u[d, t]))
+    targets = targets_by_hand({s: sum(x[1] for x in v) for s, v in by.items()})
+    want = []
+    for s, v in by.items():
+        total = sum(x[1] for x in v)
+        whole = min(2, int(targets[s] / total + 1e-12))
+        rest = max(0.0, targets[s] - whole * total)
+        chance = chances_by_hand([x[1] for x in v], rest)
+        rank = lambda p, x: 0.0 if p >= 1 else 1.0 if p <= 0 else (o := x / (1 - x) / (p / (1 - p))) / (1 + o)
+        at = 0
+        for q, d, n in sorted(((rank(p, x), -1 if d is None else d, n) for p, (d, n, x) in zip(chance, v))):
+            extra = rest > 0 and at + n / 2 <= rest
+            at += n
+            want.append((None if d < 0 else d, n, (whole + extra) * n))
+    got = [(r["doc_id"], r["size"], r["taken"]) for r in mixing.mix(docs, bins=bins).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
 
 
 # ------------------------------------------------------------------ chat formatting
