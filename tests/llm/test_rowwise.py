@@ -328,7 +328,7 @@ def top_by_hand(rows, k, every):
     out = set()
     for q, a in v:
         if q % every == 0:
-            best = sorted((-sum(s * t for s, t in zip(a, b)), i) for i, b in v if i != q)[:k]
+            best = sorted((-sum(s * t for s, t in zip(a, b)), i) for i, b in v if i != q and len(b) == len(a))[:k]
             out |= {(q, n, i, -s) for n, (s, i) in enumerate(best, 1)}
     return out
 
@@ -345,11 +345,29 @@ def test_top_k_small_blocks_ties_and_odd_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
     got = {tuple(r) for r in topk.top_k(df, k=3, every=4, nodes=2, rows=10, queries=5).collect()}
     assert got == top_by_hand(rows, 3, 4)
+    odd = rows + [(200 + i, [float(i % 3), 0.5]) for i in range(12)] + [(300, [2.0]), (304, [-1.0]), (304, [3.0]), (308, [])]
+    df = spark.createDataFrame(odd, "vec_id long, embedding array<double>")
+    for nodes in (1, 3):
+        got = {tuple(r) for r in topk.top_k(df.filter("vec_id != 304"), k=3, every=4, nodes=nodes, rows=10, queries=5).collect()}
+        assert got == top_by_hand([x for x in odd if x[0] != 304], 3, 4)
+    assert {r["vec_id"] for r in topk.top_k(df, k=3, every=300, rows=10).filter("query_id = 300").collect()} == {304}
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>")
     assert {tuple(r) for r in topk.top_k(few, k=20, every=1).collect()} == top_by_hand(rows[:3], 20, 1)
     assert topk.top_k(few.limit(0)).count() == 0
 
 
+def test_top_k_scores_only_what_is_handed_in(spark):
+    """The nodes hand in a small part of their local scores, and only these pairs get a score."""
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(3000, 16))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    counted = []
+    got = {tuple(r) for r in topk.top_k(df, k=5, every=50, rows=700, counted=counted).collect()}
+    assert got == top_by_hand([(i, v.tolist()) for i, v in enumerate(x)], 5, 50)
+    assert 60 * 5 <= counted[0].agg(F.sum("n")).first()[0] < 0.15 * 60 * 3000
+    assert counted[0].select("node").distinct().count() == topk.NODES
+
+
 # ------------------------------------------------------------------ language ID
 
 
