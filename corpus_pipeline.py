@@ -8,20 +8,14 @@ last returns the mix: how often each document that is left is taken.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from framewright.llm import decontaminate, language_id, mixing, ngram_join, secret_scan
 from framewright.llm.common import written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, of which no language can be told, go."""
-    model = language_id.train(docs.select("doc_id", "text", "lang"))
-    if model is None:  # nothing labelled to learn from: only what has no letter is rejected
-        return docs.filter(F.col("text").rlike(r"\p{L}"))
-    keep = {c: f"_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
-    told = language_id.predicted(docs.withColumnsRenamed(keep), model, ["doc_id", "text", *keep.values()])
-    return told.filter(F.col("lang_pred") != language_id.UND).drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in keep.items()}).select(*docs.columns)
+    """Documents go of which no language can be told, or none with a score of 0.5 or more."""
+    return language_id.accepted(docs, language_id.train(docs.select("doc_id", "text", "lang")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import ctypes
 import gc
 import hashlib
 import random
+import re
 import tempfile
 import time
 import uuid
@@ -28,9 +29,11 @@ _made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: ``spark.checkpoint.dir``; only where it is unset (tests), an own one."""
+    """The folder that all machines share: ``spark.checkpoint.dir``; where it is unset, an own one if there is one machine only."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         at = tempfile.mkdtemp(prefix="framewright-")
         spark.sparkContext.setCheckpointDir(at)
     return at

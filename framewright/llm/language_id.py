@@ -8,7 +8,8 @@ Training: a bounded sample of the labelled rows, ``PER_LANG`` rows a language an
 but ``MIN_ROWS`` of each language, however many languages there are; chosen by a hash of the row; prediction covers every row and reads nothing but the text.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; if nothing can be learned from, every text
-is ``und``; repeated rows each get their result; an empty table gives an empty table; further columns are ignored.
+is ``und``; repeated rows each get their result; an empty table gives an empty table; further columns are ignored; all
+bytes of a very long text count, a megabyte of them at once.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ FAMILIES = {
     "turkic": ("az", "kk", "ky", "tr", "uz"),
 }
 UND = "und"
+#: A document of which its language is less sure than not is rejected.
+LEAST = 0.5
 
 
 def family(lang: str) -> str:
@@ -85,28 +88,36 @@ class Model:
         self.top = np.stack([svm(x, np.where(of == f, 1.0, -1.0)) for f in self.families]) if len(self.families) > 1 else None
         self.pairs = {f: [(a, b, svm(x[m], np.where(names[m] == a, 1.0, -1.0))) for a, b in combinations(g, 2) if len(m := np.flatnonzero((names == a) | (names == b)))] for f, g in self.members.items()}
 
-    def predict(self, x: np.ndarray) -> tuple[str, float]:
-        sure = 1.0
-        f = self.families[0]
+    def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """The language and the score of each row of features: one product with the family models, one with a family's machines."""
+        lang, score = np.empty(len(x), object), np.ones(len(x))
+        of = np.zeros(len(x), np.int64)
         if self.top is not None:
-            margin = self.top[:, :-1] @ x + self.top[:, -1]
-            f = self.families[int(np.argmax(margin))]
-            best, second = np.sort(margin)[::-1][:2]
-            sure = _sigmoid(best - second)
-        langs = self.members[f]
-        votes, sums = dict.fromkeys(langs, 0), dict.fromkeys(langs, 0.0)
-        for a, b, w in self.pairs[f]:
-            m = float(w[:-1] @ x + w[-1])
-            votes[a if m >= 0 else b] += 1
-            sums[a] += m
-            sums[b] -= m
-        lang = max(langs, key=lambda g: (votes[g], sums[g]))
-        against = [m if a == lang else -m for a, b, w in self.pairs[f] if lang in (a, b) for m in [float(w[:-1] @ x + w[-1])]]
-        return lang, float(sure * (_sigmoid(2 * min(against)) if against else 1.0))
-
-
-def _sigmoid(m: float) -> float:
-    return float(1 / (1 + np.exp(-2 * np.clip(m, -30, 30))))
+            margin = x @ self.top[:, :-1].T + self.top[:, -1]
+            of = margin.argmax(axis=1)
+            best = np.sort(margin, axis=1)
+            score = _sigmoid(best[:, -1] - best[:, -2])
+        for i in np.unique(of).tolist():
+            names, pairs = self.members[self.families[i]], self.pairs[self.families[i]]
+            rows = np.flatnonzero(of == i)
+            if not pairs:
+                lang[rows] = names[0]
+                continue
+            w = np.stack([w for _, _, w in pairs])
+            m = (x[rows] @ w[:, :-1].T + w[:, -1]).astype(np.float64)
+            at = np.array([(names.index(a), names.index(b)) for a, b, _ in pairs])
+            first, second = (np.eye(len(names))[at[:, c]] for c in (0, 1))
+            votes, sums = (m >= 0) @ first + (m < 0) @ second, m @ (first - second)
+            won = np.where(votes == votes.max(axis=1, keepdims=True), sums, -np.inf).argmax(axis=1)
+            # the margin by which the winner beats the language that comes closest
+            against = np.where(first.T[won] > 0, m, np.where(second.T[won] > 0, -m, np.inf)).min(axis=1)
+            lang[rows] = np.array(names, object)[won]
+            score[rows] *= _sigmoid(2 * against)
+        return lang.tolist(), score
+
+
+def _sigmoid(m: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-2 * np.clip(m, -30, 30)))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -145,13 +156,34 @@ def predicted(docs: DataFrame, model: Model | None, columns: list[str], dim: int
         lean()
         m = shared.value
         for texts in batches:
-            yield pd.DataFrame([(UND, 0.0) if m is None or t is None else m.predict(features(t, dim)) for t in texts], columns=["lang_pred", "score"]).astype({"lang_pred": object, "score": float})
+            lang, score = np.full(len(texts), UND, object), np.zeros(len(texts))
+            some = np.flatnonzero(texts.notna().to_numpy()) if m is not None else []
+            for i in range(0, len(some), 256):
+                at = some[i : i + 256]
+                lang[at], score[at] = m.predict(np.stack([features(texts.iloc[k], dim) for k in at]))
+            yield pd.DataFrame({"lang_pred": lang, "score": score})
 
     letters = F.when(text_of().rlike(r"\p{L}"), F.col("text"))
     (p,) = fresh(docs, "_p")
     return docs.withColumn(p, predict(letters)).select(*columns, f"{p}.lang_pred", f"{p}.score")
 
 
+def accepted(docs: DataFrame, model: Model | None, wanted: list[str] | None = None, least: float = LEAST) -> DataFrame:
+    """The rows of ``docs`` whose language is told, with a score of ``least`` or more, and wanted (None: any that was learned).
+
+    Without a model, nothing can be told of a language: the texts that have a letter stay.
+    """
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    # columns that might clash are out of the way meanwhile
+    away = {c: f"_{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    told = predicted(docs.withColumnsRenamed(away), model, ["text", *away.values()])
+    fine = (F.col("lang_pred") != UND) & (F.col("score") >= least)
+    if wanted is not None:
+        fine &= F.col("lang_pred").isin(wanted)
+    return told.filter(fine).drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in away.items()}).select(*docs.columns)
+
+
 def language_id(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of each row of ``docs(doc_id, text, lang)``."""
     model = train(docs.select("doc_id", "text", "lang"))

@@ -6,7 +6,7 @@ import pytest
 from test_rowwise import targets_by_hand
 from test_similar import leaks_by_hand, want_rows
 
-from framewright.llm import secret_scan
+from framewright.llm import language_id, secret_scan
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.01"
@@ -21,7 +21,9 @@ def test_stages_one_by_one(spark):
     assert list(stages) == ["language", "near_duplicates", "benchmark", "secrets", "mix"]
 
     out = stages["language"](spark, docs, SF).cache()
-    assert out.columns == cols and ids(out) == {d for d, t in rows(docs) if re.search(r"[^\W\d_]", t or "")}
+    told = {r["doc_id"]: r for r in language_id.language_id(docs).collect()}
+    letters = {d for d, t in rows(docs) if re.search(r"[^\W\d_]", t or "")}
+    assert out.columns == cols and ids(out) == {d for d in letters if told[d]["score"] >= 0.5} and len(ids(out)) > 0.99 * len(letters)
 
     before, out = out, stages["near_duplicates"](spark, out, SF).cache()
     assert out.columns == cols and ids(out) == {c for _, _, c in want_rows(rows(before))}
@@ -53,6 +55,19 @@ def test_stages_one_by_one(spark):
     assert whole.sort_values("doc_id").reset_index(drop=True).equals(got.sort_values("doc_id").reset_index(drop=True))
 
 
+def test_language_stage_decides_by_its_prediction(spark, docs_of):
+    """Texts of no known language go, however many letters they have; unwanted languages go where some are named."""
+    en, es = "the cat and the dog were here with all of them ", "el perro y la gata estaban con todos los de aqui "
+    docs = docs_of([(i, en * (1 + i % 3), "en") for i in range(60)] + [(100 + i, es * (1 + i % 3), "es") for i in range(60)] + [(200, "12 34", "en"), (201, None, "es")])
+    kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["language"](spark, docs, SF).collect()}
+    assert kept == {*range(60), *range(100, 160)}
+    model = language_id.train(docs)
+    assert {r["doc_id"] for r in language_id.accepted(docs, model, wanted=["es"]).collect()} == {*range(100, 160)}
+    score = {r["doc_id"]: r["score"] for r in language_id.language_id(docs).collect()}
+    high = sorted(score.values())[-40]
+    assert {r["doc_id"] for r in language_id.accepted(docs, model, least=high).collect()} == {d for d, x in score.items() if x >= high}
+
+
 def test_stages_on_odd_tables(spark, docs_of):
     from pyspark.sql import functions as F
 

@@ -20,6 +20,21 @@ def test_blocks_round_trip():
         assert a.dtype == b.dtype and (a == b).all()
 
 
+def test_shared_folder(spark):
+    """Only one machine alone may make a folder of its own."""
+    from types import SimpleNamespace
+
+    from framewright.llm import common
+
+    def session(master, at):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: at), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda x: None))
+
+    assert common.shared_dir(session("yarn", "hdfs://x/y")) == "hdfs://x/y" and common.shared_dir(session("local[3]", None))
+    for master in ("yarn", "local-cluster[2,1,512]", "spark://a:7077"):
+        with pytest.raises(RuntimeError):
+            common.shared_dir(session(master, None))
+
+
 def words_by_hand(rows, k):
     first = {}
     parts = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in rows]

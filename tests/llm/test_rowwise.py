@@ -379,6 +379,39 @@ def test_language_id_held_out_accuracy(spark):
     assert got.score.between(0, 1).all()
 
 
+def test_language_features_and_votes_by_hand():
+    """Each byte run counts, of long texts too; the family is chosen first, then every pair of its languages votes."""
+
+    def by_hand(text, dim):
+        b, counts = f" {text.lower()} ".encode(), [0] * dim
+        for k, salt in ((1, 2654435761), (2, 2246822519), (3, 3266489917)):
+            for i in range(len(b) - k + 1):
+                x = int.from_bytes(b[i : i + k], "big")
+                counts[((x + (salt & 255)) * salt % 2**32) >> (33 - dim.bit_length())] += 1
+        out = np.sqrt(counts)
+        return out / np.linalg.norm(out)
+
+    for text in ("a", "Ünïcode 漢字 🙂", "x y " * 270_000):
+        assert np.allclose(language_id.features(text, 256), by_hand(text, 256), atol=1e-6)
+    rng = np.random.default_rng(18)
+    langs = ["en", "de", "nl", "fr", "es", "fi", "ja"]
+    x = np.abs(rng.normal(size=(140, 32))).astype(np.float32) + np.repeat(np.eye(7, 32, dtype=np.float32) * 2, 20, axis=0)
+    model = language_id.Model(x, [g for g in langs for _ in range(20)])
+    assert set(model.families) == {"germanic", "romance", "uralic", "lang:ja"} and len(model.pairs["germanic"]) == 3
+    sig = lambda m: 1 / (1 + np.exp(-2 * m))
+    got, score = model.predict(x)
+    for v, g, s in zip(x, got, score):
+        tops = sorted(((float(w[:-1] @ v + w[-1]), f) for w, f in zip(model.top, model.families)), reverse=True)
+        votes, sums = Counter(), Counter()
+        for a, b, w in model.pairs[tops[0][1]]:
+            m = float(w[:-1] @ v + w[-1])
+            votes[a if m >= 0 else b] += 1
+            sums[a], sums[b] = sums[a] + m, sums[b] - m
+        want = max(model.members[tops[0][1]], key=lambda x: (votes[x], sums[x]))
+        near = [m if a == want else -m for a, b, w in model.pairs[tops[0][1]] if want in (a, b) for m in [float(w[:-1] @ v + w[-1])]]
+        assert g == want and s == pytest.approx(sig(tops[0][0] - tops[1][0]) * (sig(2 * min(near)) if near else 1), abs=1e-4)
+
+
 def test_language_id_edges(docs_of, documents):
     import zlib
 
