@@ -1,7 +1,7 @@
 """Command line: ``python -m framewright process LANDING``.
 
-LANDING is a folder of any file system that Spark reads, where downloading has left its files; downloading itself is no
-part of the engine.  It holds ``info/*.json``, ``captions/<video_id>*.vtt``, and where they exist the tables
+LANDING is a folder of any file system that Spark reads, where downloading has left its files: ``fetch`` does that by a
+program, or another system.  It holds ``info/*.json``, ``captions/<video_id>*.vtt``, and where they exist the tables
 ``scores`` (video_id, t, score), ``measures`` (path and image measures), ``ocr`` (video_id, frame_number, items) and
 ``speech`` (video_id, start, end, text).  All its videos are processed in one run.
 """
@@ -21,6 +21,7 @@ from .plans.stages import STAGES, Marks, fingerprint, stage_name
 from .profiles import build_profiles, chapter_numbers, density_name, detector_name, interval_seconds, profile_rows
 from .sinks.files import write_files
 from .sources import adapters, captions, videos
+from .sources.programs import Programs
 
 
 def _seconds(text: str) -> float | None:
@@ -38,7 +39,11 @@ def _seconds(text: str) -> float | None:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="framewright", description=__doc__.split("\n")[0])
-    run = p.add_subparsers(dest="command", required=True).add_parser("process", help="plan frames and write manifests for all videos of a landing folder")
+    commands = p.add_subparsers(dest="command", required=True)
+    get = commands.add_parser("fetch", help="land info, captions and videos of addresses by a program on the machines")
+    get.add_argument("landing", help="a folder that is the same on all machines")
+    get.add_argument("urls", nargs="+")
+    run = commands.add_parser("process", help="plan frames and write manifests for all videos of a landing folder")
     run.add_argument("landing")
     run.add_argument("--cache-dir", default="cache", help="where tables, marks and manifests go")
     run.add_argument("--force", action="store_true", help="do every stage again")
@@ -65,6 +70,8 @@ def _optional(spark: SparkSession, path: str) -> DataFrame | None:
 
 def process(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Runs the stages that are not done for these parameters; returns the manifests."""
+    if "://" not in a.cache_dir and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"--cache-dir {a.cache_dir}: the machines of a cluster need a URI that all of them reach")
     marks = Marks(spark, f"{a.cache_dir}/.stages")
     if a.force:
         marks.clear()
@@ -111,9 +118,11 @@ def process(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     read = marks.run("ocr", fingerprint(no_ocr=a.no_ocr, **planned), at("ocr"), recognised)
 
     def deduplicated() -> DataFrame:
-        measures = _optional(spark, f"{a.landing}/measures")
-        if not a.thorough or a.no_filter or measures is None:
+        if not a.thorough or a.no_filter:
             return read.withColumn("is_kept", F.lit(True))
+        measures = _optional(spark, f"{a.landing}/measures")
+        if measures is None:
+            raise FileNotFoundError(f"{a.landing}/measures: --thorough needs the frames' measures, or --no-filter")
         return timeline.keep_frames(read.join(measures, "path", "left"), profile_rows(spark, profiles)).select(*read.columns, "is_kept")
 
     judged = {"no_ocr": a.no_ocr, "no_filter": a.no_filter, **planned}
@@ -127,15 +136,40 @@ def process(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         return render.manifests(known, chapters, kept, lines, detector=a.detector, sensitivity=a.sensitivity, intervals={n: p.scene_sample_interval for n, p in profiles.items()}, density=a.density, slide_aware=not a.no_filter, ocr_applied=not a.no_ocr, per_chunk=a.max_frames_per_chunk)
 
     docs = marks.run("manifest", fingerprint(chunk=a.max_frames_per_chunk, **judged), at("manifests"), manifests)
-    write_files(docs, a.cache_dir + "/documents" if "://" in a.cache_dir else "file://" + os.path.abspath(a.cache_dir) + "/documents")
+    write_files(docs, a.cache_dir + "/documents" if "://" in a.cache_dir else "file://" + os.path.abspath(a.cache_dir) + "/documents", "manifest*.md")
     return docs
 
 
+def fetch(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Lands the addresses' files, as ``process`` reads them."""
+    urls = spark.createDataFrame([(u,) for u in a.urls], "url string").repartition(len(a.urls))
+    return Programs(os.path.abspath(a.landing)).fetch(urls)
+
+
+def counts(spark: SparkSession, cache_dir: str) -> DataFrame:
+    """``stage, rows, videos``: what each stage's table holds."""
+    out = None
+    for stage, name in (("fetch", "info"), ("extract", "frames"), ("ocr", "ocr"), ("dedup-with-ocr-context", "kept"), ("align", "captions"), ("manifest", "manifests")):
+        t = spark.read.parquet(f"{cache_dir}/{name}")
+        if name == "kept":
+            t = t.filter("is_kept")
+        elif name == "ocr":
+            t = t.filter("ocr_text != ''")
+        one = t.agg(F.count("*").alias("rows"), F.countDistinct(t["id" if name == "info" else "video_id"]).alias("videos")).select(F.lit(stage).alias("stage"), "rows", "videos")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def main(args: Sequence[str] | None = None) -> int:
     from .session import session
 
     a = parser().parse_args(args)
     spark = session()
-    for r in process(spark, a).groupBy("video_id").count().orderBy("video_id").limit(50).collect():
-        print(f"{r['video_id']}: {r['count']} manifests")
+    if a.command == "fetch":
+        for r in fetch(spark, a).collect():  # a row an address asked for
+            print(f"{r['url']}: {r['video_id']}")
+        return 0
+    process(spark, a)
+    for r in counts(spark, a.cache_dir).collect():  # a row a stage
+        print(f"{r['stage']}: {r['rows']} rows of {r['videos']} videos")
     return 0

@@ -13,10 +13,13 @@ def overlaps(frames: DataFrame, captions: DataFrame, window: float = 3.0) -> Dat
 
     Time is cut in bins as wide as the window's two sides, a caption is in each bin that it reaches, a frame in its own: an
     equi-join on video and bin in place of a range join, so a long video spreads over tasks.  A pair meets in one bin only.
+    A caption has no bins before its video's first frame or behind the last, however wrong its end is.
     """
     width = max(2.0 * window, 1.0)
-    reach = F.sequence(F.floor((F.col("start") - window) / width), F.greatest(F.floor((F.col("end") + window) / width), F.floor((F.col("start") - window) / width)))
-    c = captions.select("video_id", "caption_idx", "start", "end", "text", F.explode(reach).alias("_bin"))
+    span = frames.groupBy("video_id").agg(F.min("timestamp").alias("_lo"), F.max("timestamp").alias("_hi"))
+    first, last = F.greatest(F.col("start") - window, F.col("_lo")), F.least(F.col("end") + window, F.col("_hi"))
+    reach = F.sequence(F.floor(first / width), F.floor(last / width))
+    c = captions.select("video_id", "caption_idx", "start", "end", "text").join(span, "video_id").filter(first <= last).select("video_id", "caption_idx", "start", "end", "text", F.explode(reach).alias("_bin"))
     f = frames.withColumn("_bin", F.floor(F.col("timestamp") / width))
     near = (F.col("start") <= F.col("timestamp") + window) & (F.col("end") >= F.col("timestamp") - window)
     return f.join(c, ["video_id", "_bin"]).filter(near).drop("_bin", "start", "end")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -31,8 +32,9 @@ TIERS: dict[int, tuple[str, ...]] = {
 
 
 def tier_pattern(phrases: Sequence[str]) -> str:
-    """Any of the phrases from a word's beginning on, in any case.  No boundary at the end: "the database" has "the data"."""
-    return r"(?iu)\b(?:" + "|".join(phrases) + ")"
+    """Any of the phrases, as they are, from a word's beginning on, in any case.  No boundary at the end: "the database" has
+    "the data"."""
+    return r"(?iu)\b(?:" + "|".join(re.sub(r"([\\.^$|?*+(){}\[\]])", r"\\\1", p) for p in phrases) + ")"
 
 
 def cue_of(text: Column, tiers: Sequence[int] = (1, 2, 3)) -> Column:

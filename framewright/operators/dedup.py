@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.images import is_black, is_blurry
 from ..functions.scalars import hamming
+from ..profiles import known
 
 
 def quality(frames: DataFrame) -> DataFrame:
@@ -19,13 +20,13 @@ def deduplicate_frames(frames: DataFrame, profiles: DataFrame) -> DataFrame:
 
     Within a chapter, in order of time, a frame goes if a frame kept before it differs in fewer bits than the threshold of
     the chapter's density, the one for slides if either is slide-like.  The order matters and likeness is not transitive,
-    so this is a fold over the kept ones.  A chapter's hashes are folded in one row; the rest of a frame stays outside it.
+    so this is a fold over the kept ones.  A density without a profile raises.  A chapter's hashes are folded in one row; the rest of a frame stays outside it.
     """
     keys = ["video_id", "chapter_number"]
     limits = profiles.select(F.col("name").alias("density"), F.col("dedup_hamming_threshold").alias("_plain"), F.col("slide_dedup_hamming_threshold").alias("_slide"))
-    known = frames.join(F.broadcast(limits), "density")
+    limited = frames.join(F.broadcast(limits), "density", "left").withColumns({c: known(F.col(c), F.col("density")) for c in ("_plain", "_slide")})
     item = F.struct("timestamp", "frame_number", "phash", "is_slide")
-    lists = known.groupBy(*keys, "_plain", "_slide").agg(F.array_sort(F.collect_list(item)).alias("_f"))
+    lists = limited.groupBy(*keys, "_plain", "_slide").agg(F.array_sort(F.collect_list(item)).alias("_f"))
     kind = dict(lists.dtypes)["_f"]
 
     def step(kept: Column, x: Column) -> Column:

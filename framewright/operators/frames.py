@@ -40,6 +40,45 @@ def grouped_frames(chapters: DataFrame, frames: DataFrame) -> DataFrame:
     return chapters.select("video_id", "chapter_number").join(lists, ["video_id", "chapter_number"], "left").withColumn("frames", F.coalesce("frames", F.array().cast(kind)))
 
 
+def inserted(store: DataFrame, new: DataFrame, block: int = 100_000) -> DataFrame:
+    """``store`` with the rows of ``new`` behind it, frames or chapters, under ids from the largest one on by their ``seq``.
+
+    Columns that ``new`` lacks are null.  No row of ``new`` is numbered in one task: rows are counted by blocks of ``seq``,
+    and a row's id is what the blocks before have and its number in its own.
+    """
+    rest = [c for c in store.columns if c != "id"]
+    rows = new.withColumns({"seq": F.col("seq").cast("bigint"), "_b": F.floor(F.col("seq") / block)})
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    last = store.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("_last"))
+    nth = F.row_number().over(Window.partitionBy("_b").orderBy("seq", *[c for c in rest if c in new.columns]))
+    # one row on the right side
+    numbered = rows.join(sizes, "_b").withColumn("_nth", nth).crossJoin(F.broadcast(last)).withColumn("id", F.col("_last") + F.col("_before") + F.col("_nth"))
+    kinds = dict(store.dtypes)
+    made = [(F.col(c) if c in numbered.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in store.columns]
+    return store.unionByName(numbered.select(*made))
+
+
+def insert_frames(store: DataFrame, new: DataFrame, block: int = 100_000) -> DataFrame:
+    """``store`` with new frames: no recognised text and kept, unless they say otherwise."""
+    return inserted(store, _defaults(new, ocr_text="", is_kept=True), block)
+
+
+def insert_chapters(store: DataFrame, new: DataFrame) -> DataFrame:
+    """``store`` with new chapters: a video's own ones, unless they say otherwise."""
+    return inserted(store, _defaults(new, is_synthetic=False))
+
+
+def _defaults(rows: DataFrame, **values: object) -> DataFrame:
+    return rows.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in rows.columns else F.lit(v) for c, v in values.items()})
+
+
+def copies(frames: DataFrame, to: str) -> DataFrame:
+    """``path, copy``: where the pictures go when those of many videos lie in one vault, the video's id before each name."""
+    video, name = F.col("video_id").cast("string"), F.element_at(F.split("path", r"[/\\\\]"), -1)
+    return frames.select("path", F.concat(F.lit(to.rstrip("/") + "/"), video, F.lit("/"), video, F.lit("_"), name).alias("copy"))
+
+
 def upsert_videos(store: DataFrame, new: DataFrame) -> DataFrame:
     """New videos are added; of a known one only the title changes.  ``new`` has ``seq``, the order of arrival."""
     every = store.withColumn("seq", F.lit(-1).cast("bigint")).unionByName(new.withColumn("seq", F.col("seq").cast("bigint")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import slot
+from ..profiles import known
 from .chapters import assign_chapter, chapter_at, chapter_lists, coverage
 
 
@@ -49,14 +50,14 @@ def scene_points(scenes: DataFrame, chapters: DataFrame, profiles: DataFrame, fa
     """``video_id, timestamp, chapter_number, density, scene_id``: samples within scenes, as dense as the chapters there ask.
 
     Each scene yields its start and then steps by the interval of the chapter in which it stands, so the step may change on
-    the way; an interval of 0 ends the scene.  A video without scenes is sampled every ``fallback`` seconds from 0 to the
+    the way; an interval of 0 ends the scene.  A density without a profile raises.  A video without scenes is sampled every ``fallback`` seconds from 0 to the
     end of its last chapter.  Of equal milliseconds the first in order of scene and step stays.
 
     The steps are a recurrence.  Between two places where the interval changes it is an arithmetic sequence, so the fold
     goes over a video's chapters, not over its samples: each adds as many steps as begin inside it.
     """
     named = profiles.select(F.col("name").alias("density"), F.col("scene_sample_interval").cast("double").alias("every"))
-    lists = chapter_lists(chapters.join(F.broadcast(named), "density"), "density", "every")
+    lists = chapter_lists(chapters.join(F.broadcast(named), "density", "left").withColumn("every", known(F.col("every"), F.col("density"))), "density", "every")
     with_scenes = scenes.select("video_id", "scene_id", "start", "end").join(lists, "video_id")
     # places where the chapter at hand changes: starts and ends; between them it is the same
     edges = F.array_sort(F.array_distinct(F.flatten(F.transform("chapters", lambda c: F.array(c["start_time"], c["end_time"])))))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .schemas import PROFILE
 
@@ -67,6 +68,11 @@ def build_profiles(default: str, interval: float) -> dict[str, Profile]:
     return PROFILES | {chosen: replace(PROFILES[chosen], scene_sample_interval=max(0.0, interval))}
 
 
+def known(value: Column, density: Column) -> Column:
+    """A value of a profile, joined from the left: raises where no profile has the row's density."""
+    return F.when(value.isNull(), F.raise_error(F.concat(F.lit("unknown density: "), F.coalesce(density, F.lit("null"))))).otherwise(value)
+
+
 def profile_rows(spark: SparkSession, profiles: dict[str, Profile]) -> DataFrame:
     """One row a profile: three rows, so broadcasting them is safe."""
     return spark.createDataFrame([(p.name, p.scene_sample_interval, p.dedup_hamming_threshold, p.slide_dedup_hamming_threshold) for p in profiles.values()], PROFILE)

@@ -256,10 +256,10 @@ def f6_scene_points(spark, sf):
     return pts.withColumn("timestamp", F.round("timestamp", 3))
 
 
-@query(with_(_SCENES) + "SELECT video_id, count(*) AS frames, max(frame_number) AS last FROM (SELECT video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY timestamp, scene_id) - 1 AS INT) AS frame_number FROM one) GROUP BY video_id")
+@query(with_(_SCENES) + f"SELECT x.video_id, {_AT.format(t='timestamp')} AS chapter_number, CASE x.video_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'normal' ELSE 'low' END AS density, CAST(row_number() OVER (PARTITION BY video_id ORDER BY timestamp, scene_id) - 1 AS INT) AS frame_number, round(timestamp, 3) AS timestamp, scene_id FROM one x")
 def thorough_plan(spark, sf):
     plan = timeline.thorough_plan(_scenes(spark, sf), all_chapters(spark, sf), profile_rows(spark, build_profiles("normal", 5.0)))
-    return plan.groupBy("video_id").agg(F.count("*").alias("frames"), F.max("frame_number").alias("last"))
+    return plan.select("video_id", "chapter_number", "density", "frame_number", F.round("timestamp", 3).alias("timestamp"), "scene_id")
 
 
 @query(with_(EV) + """, e AS (SELECT user_id AS video_id, event_id, event_type, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / CAST(3.6e9 AS DOUBLE) AS t, value FROM events),
@@ -382,11 +382,12 @@ def f3_dedup_frames(spark, sf):
     return dedup.deduplicate_frames(hashed(spark, sf), p).select("chapter_number", "frame_number", "is_kept")
 
 
-@query(with_(HASH) + "SELECT a.label, a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) AS INT) AS bits FROM h a JOIN h b ON a.label = b.label AND b.vec_id > a.vec_id AND b.vec_id - a.vec_id <= 20")
+@query(with_(HASH) + "SELECT b.label, a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) AS INT) AS bits FROM h b JOIN h a ON a.label = b.label AND a.vec_id = (SELECT min(vec_id) FROM h WHERE h.label = b.label)")
 def x14_hamming(spark, sf):
-    a = hashed(spark, sf).select(F.col("chapter_number").alias("label"), F.col("frame_number").alias("a"), F.col("phash").alias("x"))
-    b = hashed(spark, sf).select(F.col("chapter_number").alias("label"), F.col("frame_number").alias("b"), F.col("phash").alias("y"))
-    return a.join(b, "label").filter((F.col("b") > F.col("a")) & (F.col("b") - F.col("a") <= 20)).select("label", "a", "b", scalars.hamming(F.col("x"), F.col("y")).alias("bits"))
+    """Each hash against the first one of its label."""
+    h = hashed(spark, sf).select(F.col("chapter_number").alias("label"), F.col("frame_number").alias("b"), F.col("phash").alias("y"))
+    first = h.groupBy("label").agg(F.min(F.struct("b", "y")).alias("f")).select("label", F.col("f.b").alias("a"), F.col("f.y").alias("x"))
+    return h.join(first, "label").select("label", "a", "b", scalars.hamming(F.col("x"), F.col("y")).alias("bits"))
 
 
 @query("SELECT doc_id, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 80 OR n_chars % 100 / 1000.0 >= 0.08 AS slide FROM documents")
@@ -406,13 +407,38 @@ def p1_black_frames(spark, sf):
 
 @query()
 def p2_p3_image_measures(spark, sf):
-    """Blur, edges and hash of small pictures made of the embeddings; no SQL for pixels, see the tests."""
+    """Blur, edges and hash of small pictures made of the embeddings; no SQL for edges, see the tests."""
+    return _measured(spark, sf).select("vec_id", "m.*")
+
+
+def _measured(spark, sf) -> DataFrame:
     from .functions.images import image_measures
 
     px = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 100 * x).cast("int"))))
     data = F.unhex(F.array_join(F.transform(px, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
     img = table(spark, sf, "embeddings").select("vec_id", F.struct(data.alias("data"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels")).alias("image"))
-    return img.select("vec_id", image_measures().alias("m")).select("vec_id", "m.*")
+    return img.select("vec_id", image_measures().alias("m"))
+
+
+def _pixels_sql() -> str:
+    """Pictures of 8 by 8: each pixel stands for 4 by 4 of the 32 by 32 that the hash is made of."""
+    import math
+
+    basis = [[sum(math.cos(math.pi * (2 * i + 1) * u / 64) for i in range(4 * a, 4 * a + 4)) for a in range(8)] for u in range(8)]
+    mirror = lambda i: 1 if i < 0 else 6 if i > 7 else i
+    around = lambda y, x: [8 * mirror(y + dy) + mirror(x + dx) + 1 for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1))]
+    laplace = ", ".join(f"p[{a}] + p[{b}] + p[{c}] + p[{d}] - 4 * p[{8 * y + x + 1}]" for y in range(8) for x in range(8) for a, b, c, d in [around(y, x)])
+    rows = ", ".join("[" + ", ".join(repr(v) for v in row) + "]" for row in basis)
+    return f"""d AS (SELECT [{rows}] AS d), px AS (SELECT vec_id, list_transform(embedding, lambda x: greatest(0, least(255, CAST(floor(128 + 100 * x) AS INT)))::DOUBLE) AS p FROM embeddings),
+ f AS (SELECT vec_id, p, [{laplace}] AS l, list_transform(range(64), lambda k: list_sum(list_transform(range(64), lambda i: p[i + 1] * d[k // 8 + 1][i // 8 + 1] * d[k % 8 + 1][i % 8 + 1]))) AS low FROM px, d),
+ m AS (SELECT *, list_median(low) AS mid, list_avg(l) AS mean_l FROM f),
+ h AS (SELECT *, list_sum(list_transform(range(64), lambda k: CASE WHEN low[k + 1] > mid THEN CAST(1 AS HUGEINT) << CAST(63 - k AS INT) ELSE 0 END)) AS bits FROM m)"""
+
+
+@query(with_(_pixels_sql()) + "SELECT vec_id, round(list_avg(p), 6) AS mean_luma, round(list_avg(list_transform(l, lambda x: (x - mean_l) * (x - mean_l))), 4) AS lap_var, CAST(CASE WHEN bits >= CAST(9223372036854775808 AS HUGEINT) THEN bits - CAST(18446744073709551616 AS HUGEINT) ELSE bits END AS BIGINT) AS phash FROM h")
+def p2_f3a_blur_and_hash(spark, sf):
+    """Brightness, blur and perceptual hash of the same pictures."""
+    return _measured(spark, sf).select("vec_id", F.round("m.mean_luma", 6).alias("mean_luma"), F.round("m.lap_var", 4).alias("lap_var"), "m.phash")
 
 
 @query("SELECT vec_id, vec_id % 3 = 0 OR vec_id % 4 = 0 AS removed FROM embeddings")
@@ -463,6 +489,37 @@ def k4_upsert_videos(spark, sf):
     return frames.upsert_videos(c, again.unionByName(more))
 
 
+@query(with_(FR) + """SELECT frame_number AS id, video_id, chapter_number, frame_number, timestamp, path, ocr_text, is_kept FROM fr UNION ALL
+ SELECT (SELECT max(frame_number) FROM fr) + row_number() OVER (ORDER BY event_id), video_id, 0, CAST(event_id AS INT), t, 'new/' || event_id, '', true FROM ev WHERE event_type = 'view'""")
+def k5_insert_frames(spark, sf):
+    """Appended frames get the next ids in order of arrival, no text, and are kept."""
+    store = all_frames(spark, sf).select(F.col("frame_number").alias("id"), "video_id", "chapter_number", "frame_number", "timestamp", "path", "ocr_text", "is_kept")
+    n = F.col("event_id")
+    new = events(spark, sf).filter("event_type = 'view'").select(n.alias("seq"), "video_id", F.lit(0).alias("chapter_number"), n.cast("int").alias("frame_number"), F.col("t").alias("timestamp"), F.concat(F.lit("new/"), n.cast("string")).alias("path"))
+    return frames.insert_frames(store, new, block=700)
+
+
+@query(with_(CH) + """, o AS (SELECT video_id * 7 + chapter_number + 1 AS id, video_id, chapter_number, title, start_time, end_time, is_synthetic FROM ch WHERE video_id % 2 = 0)
+ SELECT * FROM o UNION ALL SELECT (SELECT max(id) FROM o) + row_number() OVER (ORDER BY video_id * 7 + chapter_number), video_id, chapter_number, title, start_time, end_time, false FROM ch WHERE video_id % 2 = 1""")
+def k6_insert_chapters(spark, sf):
+    seq = F.col("video_id") * 7 + F.col("chapter_number")
+    c = all_chapters(spark, sf).select((seq + 1).alias("id"), "video_id", "chapter_number", "title", "start_time", "end_time", "is_synthetic")
+    return frames.insert_chapters(c.filter("video_id % 2 = 0"), c.filter("video_id % 2 = 1").withColumn("seq", seq).drop("is_synthetic"))
+
+
+@query(with_(FR) + "SELECT path, 'vault/' || video_id || '/' || video_id || '_f' || frame_number AS copy FROM fr")
+def e5_copies(spark, sf):
+    """Names with the video's id before them, so pictures of many videos lie in one vault."""
+    return frames.copies(all_frames(spark, sf), "vault/")
+
+
+@query(with_(EV) + "SELECT video_id, event_id AS frame_number, video_id || '/' || printf('frame_%08.2f.jpg', t) AS path FROM ev")
+def j10_frame_paths(spark, sf):
+    """The path of each point's picture."""
+    e = events(spark, sf).select("video_id", F.col("event_id").alias("frame_number"), F.col("t").alias("timestamp"))
+    return adapters.Tables(e, e).frames(e).select("video_id", "frame_number", "path")
+
+
 @query(with_(FR) + "SELECT video_id, frame_number, CASE WHEN frame_number % 3 = 0 THEN 'seen' ELSE coalesce(ocr_text, '') END AS ocr_text FROM fr")
 def k7_set_ocr(spark, sf):
     f = all_frames(spark, sf)

@@ -9,5 +9,8 @@ SEGMENT = "video_id string, seg_idx int, start double, text string"
 CUE = "video_id string, timestamp double, tier int, phrase string, context string"
 SCENE = "video_id string, scene_id int, start double, end double"
 POINT = "video_id string, timestamp double, chapter_number int, density string, scene_id int"
+#: Rows of the store, which have ids of their own.
+STORED_FRAME = f"id bigint, {FRAME}"
+STORED_CHAPTER = f"id bigint, {CHAPTER}"
 PROFILE = "name string, scene_sample_interval double, dedup_hamming_threshold int, slide_dedup_hamming_threshold int"
 HASHED_FRAME = "video_id string, chapter_number int, timestamp double, phash bigint, is_slide boolean"

@@ -2,7 +2,7 @@
 
 Downloading, decoding, text recognition and speech-to-text are no data operations.  An adapter turns a table of requests
 into a table of results; :class:`Tables` is one that has the results already, for tests and for batches that other systems
-land.
+land, ``programs.Programs`` one that calls programs.
 """
 
 from __future__ import annotations

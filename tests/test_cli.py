@@ -4,7 +4,8 @@ import json
 
 import pytest
 
-from framewright.cli import parser, process
+from framewright.cli import counts, parser, process
+from framewright.plans.stages import STAGES
 
 
 @pytest.fixture
@@ -47,6 +48,26 @@ def test_thorough(spark, landing):
     assert "### Frame 1 @ 5.0s" in every["a", "manifest-00-one.md"]
 
 
+def test_thorough_without_measures(spark, landing):
+    """Nothing is kept in silence: without measures there is no filter to run, and it says so."""
+    import shutil
+
+    shutil.rmtree(landing / "measures")
+    with pytest.raises(FileNotFoundError, match="measures"):
+        run(spark, landing, "--thorough")
+    assert run(spark, landing, "--thorough", "--no-filter")
+    got = {r["stage"]: (r["rows"], r["videos"]) for r in counts(spark, str(landing.parent / "cache")).collect()}
+    assert got["fetch"] == (2, 2) and got["manifest"] == (3, 2) and got["extract"] == got["dedup-with-ocr-context"] and set(got) == set(STAGES)
+
+
+def test_local_cache_on_a_cluster():
+    from types import SimpleNamespace
+
+    a = parser().parse_args(["process", "in"])
+    with pytest.raises(ValueError, match="cache-dir"):
+        process(SimpleNamespace(sparkContext=SimpleNamespace(master="yarn")), a)
+
+
 def test_bad_options():
     for bad in (["--density", "x"], ["--detector", "x"], ["--scene-sample-interval", "-1"], ["--from-stage", "x"], ["--dense-chapters", "a"], ["--dense-until", "1:2:3:4"]):
         with pytest.raises(SystemExit):

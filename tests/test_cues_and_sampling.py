@@ -62,6 +62,12 @@ def test_find_cues(seg, text, tiers, want):
     assert got == ([(10.0, *want)] if want else [])
 
 
+def test_phrases_are_no_patterns(spark):
+    df = spark.createDataFrame([("see a.b now",), ("see axb now",), ("c[1] (x)",)], "t string")
+    got = [bool(r[0]) for r in df.select(F.regexp_extract("t", cues.tier_pattern(["a.b", "c[1] (x"]), 0)).collect()]
+    assert got == [True, False, True]
+
+
 def test_find_cues_without_start_and_context(seg):
     r = cues.find_cues(seg([(None, " \nthis slide\t ")])).first()
     assert (r["timestamp"], r["context"]) == (0.0, "this slide")
@@ -188,6 +194,12 @@ def steps_by_hand(scenes, spans, densities, every, fallback=30.0):
     return sorted(kept)
 
 
+def test_scene_points_unknown_density(spark, ch):
+    one = spark.createDataFrame([("v", 0, 0.0, 10.0)], SCENE)
+    with pytest.raises(Exception, match="unknown density: dense"):
+        sampling.scene_points(one, ch([(0, 10)], "dense"), profile_rows(spark, build_profiles("normal", 5.0))).collect()
+
+
 def test_scene_points(spark, ch):
     profiles = profile_rows(spark, build_profiles("normal", 5.0))
     one = spark.createDataFrame([("v", 0, 0.0, 10.0)], SCENE)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from framewright.functions import images, scalars
 from framewright.operators import align, dedup, frames, render
 from framewright.profiles import Profile, build_profiles, chapter_numbers, density_name, detector_name, interval_seconds, profile_rows
-from framewright.schemas import CAPTION, CHAPTER, FRAME, HASHED_FRAME
+from framewright.schemas import CAPTION, CHAPTER, FRAME, HASHED_FRAME, STORED_CHAPTER, STORED_FRAME
 from framewright.sinks.files import vtt_documents, write_documents, write_files
 from framewright.sources import adapters, captions, videos
 from framewright.sources.images import read_images
@@ -73,6 +73,14 @@ def test_align(spark):
     assert {r["caption_text"] for r in align.align_captions(f, c.limit(0)).collect()} == {"_none_"}
 
 
+def test_align_wrong_end(spark):
+    """A caption that never ends has bins within its video's frames only."""
+    f = spark.createDataFrame([("v", 0, n, float(t), "p", "", True) for n, t in enumerate((5, 500))], FRAME)
+    c = spark.createDataFrame([("v", 0, 4.0, 1e12, "endless"), ("v", 1, 1e12, 2e12, "never"), ("w", 2, 0.0, 9.0, "no frames")], CAPTION)
+    got = {r["frame_number"]: r["captions"] for r in align.align_captions(f, c).collect()}
+    assert got == {0: ["endless"], 1: ["endless"]}
+
+
 def test_align_random(spark):
     rng = random.Random(3)
     fs = [(str(n % 3), 0, n, rng.randrange(600) / 4, "p", "", True) for n in range(80)]
@@ -120,6 +128,12 @@ def test_near_duplicates(spark):
     assert dedup.slide_threshold(5) == 3 and dedup.slide_threshold(2) == 1 and dedup.slide_threshold(5, 2) == 2
 
 
+def test_unknown_density_raises(spark):
+    df = spark.createDataFrame([("v", 0, 1.0, 5, False, 1, "dense")], HASHED_FRAME + ", frame_number int, density string")
+    with pytest.raises(Exception, match="unknown density: dense"):
+        dedup.deduplicate_frames(df, profile_rows(spark, build_profiles("normal", 5.0))).collect()
+
+
 def test_near_duplicates_random(spark):
     rng = random.Random(4)
     rows = [(rng.getrandbits(10), rng.random() < 0.3) for _ in range(60)]
@@ -196,6 +210,20 @@ def test_store(spark):
     assert frames.videos(v, "a").count() == 1
 
 
+def test_store_inserts(spark):
+    """New rows get the next ids in order of arrival, block by block; what they don't say has its default."""
+    store = spark.createDataFrame([(7, "a", 0, 1, 2.0, "p", "x", False)], STORED_FRAME)
+    new = spark.createDataFrame([(s, "b", s, float(s), f"q{s}") for s in (5, 3, 40, 4, 41)], "seq int, video_id string, frame_number int, timestamp double, path string")
+    got = frames.insert_frames(store, new, block=4).orderBy("id").collect()
+    assert [(r["id"], r["path"]) for r in got] == [(7, "p"), (8, "q3"), (9, "q4"), (10, "q5"), (11, "q40"), (12, "q41")]
+    assert [(r["ocr_text"], r["is_kept"], r["chapter_number"]) for r in got[:2]] == [("x", False, 0), ("", True, None)]
+    none = spark.createDataFrame([], STORED_CHAPTER)
+    first = spark.createDataFrame([(1, "a", 0, "t", 0.0, 9.0), (2, "a", 1, "u", 9.0, 12.0)], "seq int, video_id string, chapter_number int, title string, start_time double, end_time double")
+    assert [(r["id"], r["title"], r["is_synthetic"]) for r in frames.insert_chapters(none, first).orderBy("id").collect()] == [(1, "t", False), (2, "u", False)]
+    assert frames.insert_chapters(none, first.limit(0)).count() == 0
+    assert frames.copies(store, "vault").first()["copy"] == "vault/a/a_p"
+
+
 def test_references(spark):
     notes = spark.createDataFrame([("see ![[v_frame_1.jpg]] and ![[v_frame_2.jpg]] ![[v_frame_1.jpg]]",)], "text string")
     used = frames.embedded(notes, r"!\[\[(v_frame_[^\]]+)\]\]")
@@ -234,6 +262,11 @@ def test_chapter_manifests(spark, tmp_path):
     assert "chapter_timerange: 120.0-180.0" in empty and "## Chunk" not in empty and "---\n\n---\n\n## Final Synthesis" in empty
     assert write_files(docs, f"file://{tmp_path}/out") == 3
     assert (tmp_path / "out/vid" / rows[0]["path"]).read_text() == first and len(list((tmp_path / "out/vid").iterdir())) == 3
+    (tmp_path / "out/vid/manifest-09-gone.md").write_text("old")
+    (tmp_path / "out/vid/notes.md").write_text("mine")
+    assert write_files(docs.filter("chapter_number < 2"), f"file://{tmp_path}/out", "manifest*.md") == 2
+    assert sorted(p.name for p in (tmp_path / "out/vid").iterdir()) == sorted([r["path"] for r in rows[:2]] + ["notes.md"])
+    assert write_files(docs.limit(0), f"file://{tmp_path}/out") == 0
     write_documents(docs, f"{tmp_path}/table")
     assert spark.read.parquet(f"{tmp_path}/table").count() == 3
 
