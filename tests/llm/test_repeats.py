@@ -112,6 +112,52 @@ def test_words_twins_and_texts_without_ids(docs_of):
     assert tuples(substring_dedup.substring_dedup(docs, k=3, attempt=1, asks=2), W) == words_by_hand(rows, 3)
 
 
+def test_words_walks_are_cut_at_branching_nodes(spark, docs_of, monkeypatch):
+    """A document's runs are cut where more than one distinct repeated edge enters or leaves, and nowhere else."""
+    from collections import defaultdict
+
+    from framewright.llm.exchange import NO_ID, Plan, with_text
+
+    rng, k = random.Random(19), 4
+    base = ["".join(rng.choice("abcdefgh") for _ in range(2)) for _ in range(700)]
+    rows = []
+    for i in range(40):
+        a, b = sorted(rng.sample(range(700), 2))
+        w = base[a:b]
+        for _ in range(len(w) // 40):
+            w[rng.randrange(len(w))] = rng.choice("xyz")
+        rows.append((i, " ".join(w)))
+    docs = {d: t.split() for d, t in rows}
+    of = defaultdict(set)
+    for d, w in docs.items():
+        for i in range(len(w) - k + 1):
+            of[tuple(w[i : i + k])].add(d)
+    enters, leaves = defaultdict(set), defaultdict(set)
+    for e, who in of.items():
+        if len(who) > 1:
+            enters[e[1:]].add(e)
+            leaves[e[:-1]].add(e)
+    branch = {v for v in {*enters, *leaves} if len(enters[v]) > 1 or len(leaves[v]) > 1}
+    text = with_text(docs_of(rows).repartition(4))
+    keyed = text.withColumns({"_d": F.coalesce("doc_id", F.lit(NO_ID)), "_t": F.col("text_hash")})
+    monkeypatch.setattr(substring_dedup, "STRETCH", 3)
+    walk = substring_dedup.graph(text, keyed, Plan.of(5000), k)
+    n_cuts = 0
+    for r in walk.collect():
+        w = docs[r["src"]]
+        places = range(r["src_start"] + 1, r["src_start"] + r["n"])
+        assert r["cuts"] == [c for c in places if tuple(w[c : c + k - 1]) in branch]
+        assert docs[r["_d"]][r["start"] : r["start"] + r["n"] + k - 1] == w[r["src_start"] : r["src_start"] + r["n"] + k - 1] and r["src"] < r["_d"]
+        n_cuts += len(r["cuts"])
+    assert n_cuts > 30 and branch
+    assert tuples(substring_dedup.substring_dedup(docs_of(rows), k=k), W) == words_by_hand(rows, k)
+    # degrees are an aggregation, the cuts joins
+    nodes = spark.createDataFrame([], "node long, enters boolean, leaves boolean, src long, src_tag long, at int")
+    runs = spark.createDataFrame([], "doc_id long, text_hash long, start array<int>, n array<int>, src array<long>, src_tag array<long>, src_start array<int>")
+    plan = substring_dedup.walks(runs, nodes)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [node" in plan and plan.count("Join ") == 3 and "Python" not in plan
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_hashes_of_all_seeds(seed):
     """Equal spans have equal hashes wherever they stand, also behind a very long one; twins and lengths differ."""
