@@ -9,7 +9,8 @@ character; a text that already has ``<\\|end|>`` gets one more, so taking one aw
 
 Defined results: null text and null role are empty; rows are in order of turn (nulls first), then role, then text, so ties
 and repeated rows keep one order and all stay; rows with a null conversation id form one conversation; an empty table
-gives an empty table; further columns are not looked at.
+gives an empty table; further columns are not looked at; a very long text is copied whole.  A conversation is a row of the
+result, so it must fit the memory of a task; one of 2 GB or more raises.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 TURN, END = "<|turn|>", "<|end|>"
 #: Escaped inside texts: the template's own strings, and those of common templates, so that no tokenizer sees them there.
 CONTROL = (TURN, END, "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]")
+#: Bytes of texts in one buffer, unless a conversation has more.
+PART = 1 << 28
 _REST = "|".join(re.escape(x[1:]) for x in CONTROL)
 _ESCAPE = rf"([<\[])(\\*)({_REST})"
 _UNESCAPE = re.compile(rf"([<\[])\\(\\*)({_REST})")
@@ -78,14 +81,20 @@ def assemble(columns: list[tuple[np.ndarray, np.ndarray]], lengths: list[np.ndar
     return out, begin
 
 
-def format_rows(conv: pa.Array, role: pa.Array, text: pa.Array) -> pa.RecordBatch:
-    """The conversations of rows that are sorted by conversation and turn."""
+def _starts(conv: pa.Array) -> np.ndarray:
+    """Whether a row's conversation is another than that of the row before."""
     n = len(conv)
     new = np.ones(n, bool)
     if n > 1:
         a, b = conv.slice(0, n - 1), conv.slice(1)
         same = pc.or_kleene(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
         new[1:] = ~np.asarray(same.to_numpy(zero_copy_only=False), bool)
+    return new
+
+
+def format_rows(conv: pa.Array, role: pa.Array, text: pa.Array) -> pa.RecordBatch:
+    """The conversations of rows that are sorted by conversation and turn."""
+    n, new = len(conv), _starts(conv)
     first = np.flatnonzero(new)
     role, text = pc.fill_null(role, ""), pc.fill_null(text, "")
     is_loss = np.asarray(pc.equal(role, "assistant").to_numpy(zero_copy_only=False), bool)
@@ -107,37 +116,46 @@ def format_rows(conv: pa.Array, role: pa.Array, text: pa.Array) -> pa.RecordBatc
     counts = np.bincount(owner[is_loss], minlength=len(first)) if n else np.zeros(0, np.int64)
     spans = pa.StructArray.from_arrays([pa.array(start[is_loss]), pa.array(end[is_loss])], names=["start", "end"])
     loss = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), spans)
+    if np.diff(edge).max(initial=0) >= 1 << 31:
+        raise ValueError("a conversation has 2 GB or more: no column of strings can hold it")
     formatted = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(edge.astype(np.int64).tobytes()), pa.py_buffer(out)).cast(pa.string())
     return pa.RecordBatch.from_arrays([conv.take(pa.array(first)), pa.array(np.diff(np.append(first, n)), pa.int64()), formatted, loss], names=["conv_id", "n_turns", "formatted", "loss"])
 
 
-def chat_format(turns: DataFrame) -> DataFrame:
+def chat_format(turns: DataFrame, most: int = PART) -> DataFrame:
     """``conv_id, n_turns, formatted, loss`` of the conversations in ``turns(conv_id, turn, role, text)``.
 
     ``loss`` has the code-point spans of the assistant texts inside ``formatted``.  Rows are dealt by conversation and
-    sorted on disk; a task holds the conversations of one batch and the one that continues into the next.
+    sorted on disk; a task holds the conversations of one batch and the one that continues into the next.  ``most`` bytes of
+    conversations are formatted at once, or one that has more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
+        held: list[pa.RecordBatch] = []  # parts of the conversation that may go on; joined once, when it ends
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = pa.Table.from_batches([batch])
-            rows = rows if rest is None else pa.concat_tables([rest, rows])
-            last = rows["conv_id"][-1]
-            ids = rows["conv_id"].combine_chunks()
+            ids, last = batch.column("conv_id"), batch.column("conv_id")[-1]
             other = pc.is_valid(ids) if not last.is_valid else pc.fill_null(pc.not_equal(ids, last), True)
             at = np.flatnonzero(np.asarray(other.to_numpy(zero_copy_only=False), bool))
             cut = int(at[-1]) + 1 if len(at) else 0
-            if cut:
-                yield out(rows.slice(0, cut))
-            rest = rows.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield out(rest)
-
-    def out(rows: pa.Table) -> pa.RecordBatch:
-        return format_rows(*(rows[c].combine_chunks() for c in ("conv_id", "role", "text")))
+            if cut or (held and held[0].column("conv_id")[-1].as_py() != last.as_py()):
+                yield from out([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from out(held)
+
+    def out(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        conv, role, text = (rows[c].combine_chunks() for c in ("conv_id", "role", "text"))
+        # as many conversations at once as keep a column below its limit of 2 GB
+        size = np.cumsum(np.asarray(pc.add(pc.binary_length(role), pc.binary_length(text)).to_numpy(zero_copy_only=False), np.int64))
+        first = np.flatnonzero(_starts(conv))
+        group = np.concatenate([[0], size])[first] // most
+        cuts = [*first[np.flatnonzero(np.diff(group, prepend=-1))].tolist(), len(conv)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield format_rows(conv.slice(a, b - a), role.slice(a, b - a), text.slice(a, b - a))
 
     cols = turns.select(F.col("conv_id").cast("long"), "turn", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
     return cols.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn").mapInArrow(run, _SCHEMA)

@@ -315,7 +315,9 @@ def test_chat_conversation_over_many_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         rows = [(c, t, "assistant" if t % 2 else "user", f"{c} {t} é") for c, n in ((1, 40), (2, 3), (None, 9)) for t in range(n)]
-        assert as_tuples(chat_format.digests(chat_format.chat_format(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))) == chats_by_hand(rows)
+        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+        assert as_tuples(chat_format.digests(chat_format.chat_format(df))) == chats_by_hand(rows)
+        assert as_tuples(chat_format.digests(chat_format.chat_format(df.unionByName(df.withColumn("conv_id", F.col("conv_id") + 10)), most=50))) == chats_by_hand(rows + [(None if c is None else c + 10, *x) for c, *x in rows])
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
