@@ -9,9 +9,10 @@ the others in a block of its own.  So an item that a third of all documents hold
 bucket holds more of it than that.
 
 Block sizes: a chunk has about ``CHUNK_BYTES`` of text, or one document; a bucket about ``BUCKET`` items, as the number of
-buckets follows the corpus.  Both fit workers of 400 MB.  A block has chunk times bucket by corpus items, so the larger
-the corpus, the larger workers should be: ``spark.framewright.chunkBytes`` and ``spark.framewright.bucketItems`` raise
-both (at 100 TB, 64 MB and 32 million, for workers of 3 GB).  Only counts and sizes reach the driver.
+buckets follows the corpus.  Both fit workers of 400 MB.  A block has chunk times bucket by corpus items, so from
+``GROWS`` items on both grow with the root of the corpus, which keeps the items of a block, up to ``MOST`` times: 64 MB and
+32 million items, for workers of 3 GB, at 256 times ``GROWS`` and beyond.  ``spark.framewright.chunkBytes`` and
+``spark.framewright.bucketItems`` set them for other workers.  Only counts and sizes reach the driver.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from .common import lean
 #: Bytes of text gathered for a chunk at most, unless one document has more.
 CHUNK_BYTES = 4 << 20
 BUCKET = 1 << 21
+#: Items from which on chunks and buckets grow, and how many times at most.
+GROWS, MOST = 1 << 30, 16
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -97,7 +100,8 @@ class Plan:
 
     @classmethod
     def of(cls, items: int, spark: SparkSession | None = None, spare: int = 7) -> Plan:
-        conf = lambda key, default: int(spark.conf.get(f"spark.framewright.{key}", str(default))) if spark else default
+        times = min(MOST, max(1.0, (items / GROWS) ** 0.5))
+        conf = lambda key, default: int(spark.conf.get(f"spark.framewright.{key}", str(int(default * times)))) if spark else int(default * times)
         bits = max(4, (max(items, 1) // conf("bucketItems", BUCKET)).bit_length())
         # with 7 bits to spare, two different items among so many share all bits with a chance below one in a hundred
         need = 2 * max(items, 2).bit_length() + spare

@@ -16,7 +16,7 @@ hundreds of times, so suffixes are sampled where their content says so, and only
 4. The reaches become spans of documents, and a join with the texts removes them.
 
 The bytes themselves are compared in step 3; in step 2 a context counts as repeated if 96 bits of its cryptographic digest
-are, which different contexts of any build share with a chance of some in 10**16 among 10**6 million of them.
+are, which any two different ones among 10**12 share with a chance below one in 100,000, however they are built.
 
 Defined results: null text is empty; repeated rows are repeats of each other; a null doc_id is kept as null; overlapping
 repeats in one document count; an empty table gives an empty table; further columns are not looked at.  A very long text is a

@@ -20,6 +20,21 @@ def test_blocks_round_trip():
         assert a.dtype == b.dtype and (a == b).all()
 
 
+def test_blocks_of_large_corpora(spark):
+    """Chunks and buckets grow with the corpus, up to a bound, unless they are set."""
+    from framewright.llm.exchange import BUCKET, CHUNK_BYTES, GROWS, Plan
+
+    small, four, huge = Plan.of(1 << 27), Plan.of(16 * GROWS), Plan.of(1 << 45)
+    assert (small.chunk_bytes, four.chunk_bytes, huge.chunk_bytes) == (CHUNK_BYTES, 4 * CHUNK_BYTES, 16 * CHUNK_BYTES)
+    for plan, items, times in ((small, 1 << 27, 1), (four, 16 * GROWS, 4), (huge, 1 << 45, 16)):
+        assert times * BUCKET / 2 <= items / plan.buckets <= times * BUCKET * 2
+    spark.conf.set("spark.framewright.chunkBytes", "77")
+    try:
+        assert Plan.of(1 << 45, spark).chunk_bytes == 77
+    finally:
+        spark.conf.unset("spark.framewright.chunkBytes")
+
+
 def test_shared_folder(spark):
     """Only one machine alone may make a folder of its own."""
     from types import SimpleNamespace
