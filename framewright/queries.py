@@ -405,12 +405,6 @@ def p1_black_frames(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", is_black(mean, 126.0).alias("black"), mean.alias("avg_luma"))
 
 
-@query()
-def p2_p3_image_measures(spark, sf):
-    """Blur, edges and hash of small pictures made of the embeddings; no SQL for edges, see the tests."""
-    return _measured(spark, sf).select("vec_id", "m.*")
-
-
 def _measured(spark, sf) -> DataFrame:
     from .functions.images import image_measures
 
@@ -424,21 +418,48 @@ def _pixels_sql() -> str:
     """Pictures of 8 by 8: each pixel stands for 4 by 4 of the 32 by 32 that the hash is made of."""
     import math
 
-    basis = [[sum(math.cos(math.pi * (2 * i + 1) * u / 64) for i in range(4 * a, 4 * a + 4)) for a in range(8)] for u in range(8)]
+    every = [(y, x) for y in range(8) for x in range(8)]
+    listed = lambda f: "[" + ", ".join(f(y, x) for y, x in every) + "]"
+    # beside the picture: its mirror for blur, its border for gradients, nothing for what is thinned and grown
     mirror = lambda i: 1 if i < 0 else 6 if i > 7 else i
-    around = lambda y, x: [8 * mirror(y + dy) + mirror(x + dx) + 1 for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1))]
-    laplace = ", ".join(f"p[{a}] + p[{b}] + p[{c}] + p[{d}] - 4 * p[{8 * y + x + 1}]" for y in range(8) for x in range(8) for a, b, c, d in [around(y, x)])
+    border = lambda i: min(max(i, 0), 7)
+    at = lambda y, x: f"[{8 * y + x + 1}]"
+    inside = lambda name, y, x, none: f"{name}{at(y, x)}" if 0 <= y < 8 and 0 <= x < 8 else none
+    basis = [[sum(math.cos(math.pi * (2 * i + 1) * u / 64) for i in range(4 * a, 4 * a + 4)) for a in range(8)] for u in range(8)]
     rows = ", ".join("[" + ", ".join(repr(v) for v in row) + "]" for row in basis)
+    laplace = listed(lambda y, x: " + ".join("p" + at(mirror(y + dy), mirror(x + dx)) for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1))) + f" - 4 * p{at(y, x)}")
+
+    def side(y: int, x: int, across: bool, by: int) -> str:
+        """Three neighbours on one side, the middle one twice."""
+        near = [(y + d, x + by) if across else (y + by, x + d) for d in (-1, 0, 1)]
+        return "(" + " + ".join(f"{w} * p{at(border(i), border(j))}" for w, (i, j) in zip((1, 2, 1), near)) + ")"
+
+    gx, gy = (listed(lambda y, x, c=c: f"{side(y, x, c, 1)} - {side(y, x, c, -1)}") for c in (True, False))
+
+    def top(y: int, x: int) -> str:
+        c, g = f"s{at(y, x)}", at(y, x)
+        higher = lambda a, b, last=">=": f"({c} > {inside('s', *a, '0')} AND {c} {last} {inside('s', *b, '0')})"
+        return (
+            f"CASE WHEN abs(gy{g}) < 0.41421356::DOUBLE * abs(gx{g}) THEN {higher((y, x - 1), (y, x + 1))} WHEN abs(gy{g}) > 2.41421356::DOUBLE * abs(gx{g}) THEN {higher((y - 1, x), (y + 1, x))}"
+            f" WHEN gx{g} * gy{g} >= 0 THEN {higher((y - 1, x - 1), (y + 1, x + 1))} ELSE {higher((y - 1, x + 1), (y + 1, x - 1), '>')} END"
+        )
+
+    grown = listed(lambda y, x: f"strong{at(y, x)} OR (weak{at(y, x)} AND (" + " OR ".join(inside("strong", y + i, x + j, "false") for i in (-1, 0, 1) for j in (-1, 0, 1)) + "))")
     return f"""d AS (SELECT [{rows}] AS d), px AS (SELECT vec_id, list_transform(embedding, lambda x: greatest(0, least(255, CAST(floor(128 + 100 * x) AS INT)))::DOUBLE) AS p FROM embeddings),
- f AS (SELECT vec_id, p, [{laplace}] AS l, list_transform(range(64), lambda k: list_sum(list_transform(range(64), lambda i: p[i + 1] * d[k // 8 + 1][i // 8 + 1] * d[k % 8 + 1][i % 8 + 1]))) AS low FROM px, d),
+ f AS (SELECT vec_id, p, {laplace} AS l, list_transform(range(64), lambda k: list_sum(list_transform(range(64), lambda i: p[i + 1] * d[k // 8 + 1][i // 8 + 1] * d[k % 8 + 1][i % 8 + 1]))) AS low FROM px, d),
  m AS (SELECT *, list_median(low) AS mid, list_avg(l) AS mean_l FROM f),
- h AS (SELECT *, list_sum(list_transform(range(64), lambda k: CASE WHEN low[k + 1] > mid THEN CAST(1 AS HUGEINT) << CAST(63 - k AS INT) ELSE 0 END)) AS bits FROM m)"""
+ h AS (SELECT *, list_sum(list_transform(range(64), lambda k: CASE WHEN low[k + 1] > mid THEN CAST(1 AS HUGEINT) << CAST(63 - k AS INT) ELSE 0 END)) AS bits FROM m),
+ g AS (SELECT vec_id, {gx} AS gx, {gy} AS gy FROM px), sz AS (SELECT *, list_transform(range(1, 65), lambda i: abs(gx[i]) + abs(gy[i])) AS s FROM g),
+ tp AS (SELECT vec_id, s, {listed(top)} AS t FROM sz),
+ e(vec_id, weak, strong, n) AS (SELECT vec_id, list_transform(range(1, 65), lambda i: t[i] AND s[i] > 100), list_transform(range(1, 65), lambda i: t[i] AND s[i] > 200), 0 FROM tp
+  UNION ALL SELECT vec_id, weak, grown, n + 1 FROM (SELECT *, {grown} AS grown FROM e) WHERE grown <> strong),
+ ed AS (SELECT vec_id, len(list_filter(arg_max(strong, n), lambda x: x)) / 64 AS edge_density FROM e GROUP BY vec_id)"""
 
 
-@query(with_(_pixels_sql()) + "SELECT vec_id, round(list_avg(p), 6) AS mean_luma, round(list_avg(list_transform(l, lambda x: (x - mean_l) * (x - mean_l))), 4) AS lap_var, CAST(CASE WHEN bits >= CAST(9223372036854775808 AS HUGEINT) THEN bits - CAST(18446744073709551616 AS HUGEINT) ELSE bits END AS BIGINT) AS phash FROM h")
-def p2_f3a_blur_and_hash(spark, sf):
-    """Brightness, blur and perceptual hash of the same pictures."""
-    return _measured(spark, sf).select("vec_id", F.round("m.mean_luma", 6).alias("mean_luma"), F.round("m.lap_var", 4).alias("lap_var"), "m.phash")
+@query(with_(_pixels_sql()) + "SELECT vec_id, round(list_avg(p), 6) AS mean_luma, round(list_avg(list_transform(l, lambda x: (x - mean_l) * (x - mean_l))), 4) AS lap_var, edge_density, CAST(CASE WHEN bits >= CAST(9223372036854775808 AS HUGEINT) THEN bits - CAST(18446744073709551616 AS HUGEINT) ELSE bits END AS BIGINT) AS phash FROM h JOIN ed USING (vec_id)")
+def p2_p3_image_measures(spark, sf):
+    """Brightness, blur, edges and perceptual hash of small pictures made of the embeddings."""
+    return _measured(spark, sf).select("vec_id", F.round("m.mean_luma", 6).alias("mean_luma"), F.round("m.lap_var", 4).alias("lap_var"), "m.edge_density", "m.phash")
 
 
 @query("SELECT vec_id, vec_id % 3 = 0 OR vec_id % 4 = 0 AS removed FROM embeddings")
