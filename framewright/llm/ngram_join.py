@@ -5,6 +5,9 @@
 2. Equal sets become one class; one representative goes on.
 3. Shingles are in one order, rare first.  Two sets that link share a shingle of their prefixes; who shares one falls into
    one candidate group (a few Spark joins), and a group's sets meet in one task, or in pairs of blocks if they are many.
+   Where groups have grown together to more than ``WIDE`` blocks, as those of large corpora may, their sets meet by the
+   tokens of their prefixes instead, which copies a set as often as its prefix is long and no more; a token that many sets
+   have is dealt in pairs of blocks again, and a link belongs to the first token that both prefixes have.
 4. In a task the sets are joined exactly.  The index lists are cut in blocks by position; blocks whose position leaves too
    little room for the overlap are skipped.  A set that is highly similar to one already answered derives its answers from
    that one's: |x & y| lies within what x and z differ in of |z & y|, so many partners are accepted or rejected unread.
@@ -43,6 +46,8 @@ from .graph import components
 K = 5
 #: Sets that meet in one task; larger candidate groups are dealt in pairs of blocks.
 GROUP = 2000
+#: Blocks of a candidate group beyond which its sets meet by token.
+WIDE = 64
 #: Positions in a block of an index list.
 STEP = 16
 _SETS = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("n", pa.int64()), ("set", pa.binary()), ("tokens", pa.binary())])
@@ -159,11 +164,12 @@ class Union:
         return i != j
 
 
-def join_local(sets: list[list[int]], sizes: list[int], percent: int, side: list[int] | None = None, known: list[int] | None = None, count: dict | None = None, spanning: bool = False) -> Iterator[tuple[int, int]]:
+def join_local(sets: list[list[int]], sizes: list[int], percent: int, side: list[int] | None = None, known: list[int] | None = None, count: dict | None = None, spanning: bool = False, only: int | None = None) -> Iterator[tuple[int, int]]:
     """Links among ``sets`` (shared tokens in one order, rare first; ``sizes`` with the others), each of them once.
 
     With ``side``, only sets of different sides are compared.  With ``spanning``, only links that span each component come
-    out; ``known`` has numbers of components known before then.
+    out; ``known`` has numbers of components known before then.  With ``only``, links whose sets have another token than that
+    as the first one in both prefixes are left to it.
     """
     uf, stats = Union(len(sets)), count if count is not None else {}
     if known:
@@ -173,6 +179,7 @@ def join_local(sets: list[list[int]], sizes: list[int], percent: int, side: list
     as_set: dict[int, set[int]] = {}
     index: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
     answers: dict[int, dict[int, int]] = {}
+    prefixes: dict[int, set[int]] = {}
     for x in sorted(range(len(sets)), key=lambda i: sizes[i]):
         n, mine, least = sizes[x], sets[x], _least(sizes[x], percent)
         unique = n - len(mine)
@@ -189,11 +196,15 @@ def join_local(sets: list[list[int]], sizes: list[int], percent: int, side: list
                     continue
                 shared.update(ys)
         mine_set = as_set[x] = set(mine)
+        if only is not None:
+            prefixes[x] = set(prefix)
         found: dict[int, int] = {}
         z = None  # the most similar set that has been answered
         for y, _ in shared.most_common():
             if 100 * sizes[y] < percent * n or (side is not None and side[x] == side[y]) or (spanning and uf.find(x) == uf.find(y)):
                 continue
+            if only is not None and next(t for t in prefix if t in prefixes[y]) != only:
+                continue
             need = -(-percent * (n + sizes[y]) // (100 + percent))
             if z is not None and (o := answers[z].get(y)) is not None:
                 if o - (len(sets[z]) - found[z]) >= need:
@@ -224,15 +235,15 @@ _MEET = ["cc", "i", "j"]
 _LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64())])
 
 
-def _join(percent: int, spanning: bool):
+def _join(percent: int, spanning: bool, by_token: bool):
     """Joins the sets of each run of equal keys; one run is in memory at a time."""
 
     def out(rows: list[dict]) -> Iterator[tuple]:
         sets = [np.frombuffer(unpack(r["tokens"])[0].tobytes(), "<i8").tolist() for r in rows]
         cross = rows[0]["i"] != rows[0]["j"]
-        known = [r["known"] for r in rows] if cross and spanning else None
+        known = [r["known"] for r in rows] if cross and spanning and not by_token else None
         uf, linked = Union(len(rows)), [0] * len(rows)
-        for a, b in join_local(sets, [r["n"] for r in rows], percent, [r["b"] for r in rows] if cross else None, known, spanning=spanning):
+        for a, b in join_local(sets, [r["n"] for r in rows], percent, [r["b"] for r in rows] if cross else None, known, spanning=spanning, only=rows[0]["cc"] if by_token else None):
             linked[a] += rows[b]["m"]
             linked[b] += rows[a]["m"]
             if uf.join(a, b):
@@ -261,12 +272,27 @@ def _join(percent: int, spanning: bool):
     return run
 
 
-def _meet(dealt: DataFrame, percent: int, spanning: bool) -> DataFrame:
+def _meet(dealt: DataFrame, percent: int, spanning: bool, by_token: bool = False) -> DataFrame:
     cols = dealt.select(*_MEET, "b", "node", "n", "m", "tokens", "known")
-    return cols.repartition(*_MEET).sortWithinPartitions(*_MEET).mapInArrow(_join(percent, spanning), "a binary, b binary, n long")
+    return cols.repartition(*_MEET).sortWithinPartitions(*_MEET).mapInArrow(_join(percent, spanning, by_token), "a binary, b binary, n long")
+
+
+def _pairs(dealt: DataFrame) -> DataFrame:
+    """``dealt(b, blocks)`` with ``i, j``: a copy for each pair of the row's block and another."""
+    other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("b"))
+    return dealt.withColumn("other", F.explode(other)).withColumns({"i": F.least("b", "other"), "j": F.greatest("b", "other")})
+
 
+def by_tokens(sets: DataFrame, post: DataFrame, group: int) -> DataFrame:
+    """``cc, i, j, b, node, n, m, tokens, known``: copies of ``sets`` for each token of their prefixes that another has too."""
+    mine = post.join(sets.select("node"), "node", "left_semi")
+    size = mine.groupBy("token").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("token").alias("cc"), F.ceil(F.col("_n") / group).cast("int").alias("blocks"))
+    copies = mine.select(F.col("token").alias("cc"), "node").join(size, "cc").join(sets, "node")
+    dealt = copies.withColumns({"b": F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), "known": F.lit(0).cast("long")})
+    return dealt.withColumns({"i": F.col("b"), "j": F.col("b")}).unionByName(_pairs(dealt.filter("blocks > 1")).drop("other"))
 
-def links(reps: DataFrame, percent: int, group: int = GROUP, spanning: bool = False) -> DataFrame:
+
+def links(reps: DataFrame, percent: int, group: int = GROUP, spanning: bool = False, wide: int = WIDE) -> DataFrame:
     """``a, b, n``: links between ``reps(node, n, m, tokens)`` that span each component, and rows without ``b``, whose ``n`` add
     up to the ``m`` of all that a node links with; with ``spanning``, none of these.
     """
@@ -275,22 +301,26 @@ def links(reps: DataFrame, percent: int, group: int = GROUP, spanning: bool = Fa
     near = components(post.join(first, "token").filter("node != a").select("a", F.col("node").alias("b")).distinct())
     labels = written(near.select("node", F.col("root").alias("cc")), "candidates")
     sized = labels.groupBy("cc").agg(F.ceil(F.count("*") / group).cast("int").alias("blocks"))
-    mine = reps.select("node", "n", "m", "tokens").join(labels.join(sized, "cc"), "node").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = reps.select("node", "n", "m", "tokens").join(labels.join(sized, "cc"), "node")
+    mine = every.filter(F.col("blocks") <= wide).withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     within = _meet(mine.withColumns({"i": F.col("b"), "j": F.col("b"), "known": F.lit(0).cast("long")}), percent, spanning)
-    if sized.filter("blocks > 1").isEmpty():
-        return within
-    # groups of many blocks: every two blocks meet for the rest; what the blocks' own links join is known
-    wide = mine.filter("blocks > 1").withColumn("known", F.lit(0).cast("long"))
-    if spanning:
-        within = written(within, "links")
-        known = components(within.select("a", "b")).select("node", F.xxhash64("root").alias("known"))
-        wide = wide.drop("known").join(known, "node", "left").withColumn("known", F.coalesce("known", F.xxhash64("node")))
-    other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("b"))
-    dealt = wide.withColumn("other", F.explode(other)).withColumns({"i": F.least("b", "other"), "j": F.greatest("b", "other")})
-    return within.unionByName(_meet(dealt, percent, spanning))
-
-
-def ngram_join(docs: DataFrame, k: int = K, percent: int = 75, group: int = GROUP, spanning: bool = False) -> DataFrame:
+    most = sized.agg(F.max("blocks").alias("most"), F.max(F.when(F.col("blocks") <= wide, F.col("blocks"))).alias("many")).first()
+    out = within
+    if (most["many"] or 0) > 1:
+        # groups of many blocks: every two blocks meet for the rest; what the blocks' own links join is known
+        many = mine.filter("blocks > 1").withColumn("known", F.lit(0).cast("long"))
+        if spanning:
+            out = within = written(within, "links")
+            known = components(within.select("a", "b")).select("node", F.xxhash64("root").alias("known"))
+            many = many.drop("known").join(known, "node", "left").withColumn("known", F.coalesce("known", F.xxhash64("node")))
+        out = out.unionByName(_meet(_pairs(many), percent, spanning))
+    if (most["most"] or 0) > wide:
+        grown = written(every.filter(F.col("blocks") > wide).select("node", "n", "m", "tokens"), "grown")
+        out = out.unionByName(_meet(by_tokens(grown, post, group), percent, spanning, True))
+    return out
+
+
+def ngram_join(docs: DataFrame, k: int = K, percent: int = 75, group: int = GROUP, spanning: bool = False, wide: int = WIDE) -> DataFrame:
     """``doc_id, n_shingles, component_id, n_links`` of each row of ``docs(doc_id, text)``, and ``node`` and ``component``, the
     row's and the component's identity.  ``n_links`` is the number of other rows that link with the row; with ``spanning``,
     only components are made, and it is left out.
@@ -303,7 +333,7 @@ def ngram_join(docs: DataFrame, k: int = K, percent: int = 75, group: int = GROU
     released(docs.sparkSession)
     some = sets.filter(F.col("set").isNotNull())
     reps = written(some.groupBy("set").agg(F.min_by(F.struct("node", "n", "tokens"), "node").alias("r"), F.count("*").alias("m")).select("set", "m", "r.*"), "classes")
-    linked = links(reps, percent, group, spanning)
+    linked = links(reps, percent, group, spanning, wide)
     linked = linked if spanning else written(linked, "links")
     roots = components(linked.filter(F.col("b").isNotNull()).select("a", "b"))
     of = reps.select("set", "node", "m").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

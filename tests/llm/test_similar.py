@@ -87,15 +87,30 @@ def test_join_by_hand(docs_of, near_copies, group):
     assert got_rows(ngram_join.ngram_join(docs, group=group)) == want_rows(near_copies)
 
 
-@pytest.mark.parametrize("group", [2000, 4])
-def test_join_counts_every_link(docs_of, near_copies, group):
+@pytest.mark.parametrize("group,wide", [(2000, 64), (4, 64), (4, 1), (2000, 0), (4, 3)])
+def test_join_counts_every_link(docs_of, near_copies, group, wide):
     sets = [shingle_set(t) for _, t in near_copies]
     want = [sum(i != j and bool(x) and 100 * len(x & y) >= 75 * len(x | y) for j, y in enumerate(sets)) for i, x in enumerate(sets)]
     docs = docs_of(near_copies).repartition(3)
-    got = ngram_join.ngram_join(docs, group=group).select("doc_id", "n_shingles", "n_links").collect()
+    got = ngram_join.ngram_join(docs, group=group, wide=wide).select("doc_id", "n_shingles", "n_links").collect()
     assert sorted(map(tuple, got), key=str) == sorted([(d, len(s), n) for (d, _), s, n in zip(near_copies, sets, want)], key=str)
     assert max(want) > 3
-    assert got_rows(ngram_join.ngram_join(docs, group=group, spanning=True)) == want_rows(near_copies)
+    assert got_rows(ngram_join.ngram_join(docs, group=group, spanning=True, wide=wide)) == want_rows(near_copies)
+
+
+def test_join_of_groups_that_grow_together(spark, docs_of):
+    """A chain of texts that share passages is one candidate group; by token, few of its sets meet in one task."""
+    rng = random.Random(22)
+    passage = [" ".join("".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(40)) for _ in range(240)]
+    rows = [(i, f"{passage[i]} {passage[i + 1]}") for i in range(239)] + [(300 + i, f"{passage[i]} {passage[i + 1]} more") for i in range(0, 239, 5)]
+    docs = docs_of(rows)
+    want = want_rows(rows)
+    assert got_rows(ngram_join.ngram_join(docs, percent=75, group=20, wide=2)) == want and sum(d != c for d, _, c in want) == 48
+    sets = [(bytes([i // 256, i % 256]), 80, 1, b"") for i in range(1, 280)]
+    reps = spark.createDataFrame(sets, "node binary, n long, m long, tokens binary")
+    post = spark.createDataFrame([(t, x[0]) for i, x in enumerate(sets) for t in (i, i + 1, 7 if i < 50 else 1000 + i)], "token long, node binary")
+    met = ngram_join.by_tokens(reps, post, 20).groupBy("cc", "i", "j").count().agg(F.max("count"), F.sum("count")).first()
+    assert met[0] <= 60 and met[1] < 4 * len(sets) + 50 * 3
 
 
 def test_join_local_emits_every_link():
