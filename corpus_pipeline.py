@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs.  A
 filtering stage returns the columns of documents unchanged; the secret stage changes the texts that hold live secrets; the
 last returns the mix: how often each document that is left is taken.
+
+Defined results: null, empty and letterless texts go with the language stage; of rows that are equal in id and text one
+stays; a null doc_id, lang or source is kept as null; without a labelled row every text with a letter stays; an empty table
+gives an empty table; further columns of documents are carried along by all stages but the last; very long texts are worked
+on whole.  What each operator does with such rows stands in its module.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ anything is counted (it refuses a model for which the proof fails).  The vocabul
 token are proved offline too, by encoding each of them once; a pre-token that is one of them counts 1 without any
 merging.  Only the rest goes through the merges, each distinct pre-token once as long as it stays in a bounded memo.
 
-Null text counts as empty.  Empty text has 0 tokens.  Strings of control tokens inside a text are ordinary text, which
-is the library's default.
+Defined results: null text counts as empty, empty text has 0 tokens; strings of control tokens inside a text are ordinary
+text, which is the library's default; repeated rows each get their count; an empty table gives an empty table; further
+columns are not looked at; a very long text is counted whole, pre-token by pre-token.
 """
 
 from __future__ import annotations
