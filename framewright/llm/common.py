@@ -53,17 +53,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def released(spark: SparkSession) -> None:
+def released(spark: SparkSession, size: int) -> None:
     """Lets Spark delete the shuffle files of what is no longer used, which it does once the driver collects its garbage.
 
-    Twice, as the first collection frees what Python held, the second what that had held.
+    Twice, as the first collection frees what Python held, the second what that had held.  Not after exchanges of less than
+    ``WORTH`` bytes of text, whose files may stay until the driver collects anyway.
     """
+    if size < WORTH:
+        return
     for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.5)
 
 
+WORTH = 1 << 26
+
+
 def lean() -> None:
     """Makes this worker return large arrays to the system when they are freed, so that one task's don't add to the next's.
 

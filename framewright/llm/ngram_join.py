@@ -328,9 +328,10 @@ def ngram_join(docs: DataFrame, k: int = K, percent: int = 75, group: int = GROU
     Two documents link if 100 * |x & y| >= percent * |x | y| for their sets of distinct lower-cased k-word shingles.
     """
     rows = with_text(docs)
-    plan = Plan.of((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 5, docs.sparkSession)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    plan = Plan.of(size // 5, docs.sparkSession)
     sets = written(exchange(rows, plan, _emit(k), _counted, _candidates(percent), "doc_id long, node binary, n long, set binary, tokens binary"), "sets")
-    released(docs.sparkSession)
+    released(docs.sparkSession, size)
     some = sets.filter(F.col("set").isNotNull())
     reps = written(some.groupBy("set").agg(F.min_by(F.struct("node", "n", "tokens"), "node").alias("r"), F.count("*").alias("m")).select("set", "m", "r.*"), "classes")
     linked = links(reps, percent, group, spanning, wide)

@@ -192,16 +192,16 @@ def _pieces(walk: DataFrame) -> DataFrame:
     return walk.select("src", "src_tag", F.explode(parts).alias("x")).select("src", "src_tag", "x.*")
 
 
-def graph(rows: DataFrame, keyed: DataFrame, plan: Plan, k: int, attempt: int = 0) -> DataFrame:
+def graph(rows: DataFrame, keyed: DataFrame, plan: Plan, k: int, attempt: int = 0, size: int = 0) -> DataFrame:
     """The walks of all documents over the nonbranching paths of the graph, as :func:`walks` has them."""
     runs = written(repeated_runs(rows, plan, k, attempt), "runs")
-    released(rows.sparkSession)
+    released(rows.sparkSession, size)
     # the texts of sources, each once whatever rows repeat it
     own = runs.filter(F.size("own_start") > 0).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "own_start", "own_n").dropDuplicates(["_d", "_t"])
     texts = keyed.join(own, ["_d", "_t"]).dropDuplicates(["_d", "_t"]).select("_d", "_t", "text", "own_start", "own_n")
     nodes = written(texts.mapInArrow(_nodes(k), "node long, enters boolean, leaves boolean, src long, src_tag long, at int"), "nodes")
     walk = written(walks(runs.filter(F.size("start") > 0).dropDuplicates(["doc_id", "text_hash"]), nodes), "walks")
-    released(rows.sparkSession)
+    released(rows.sparkSession, size)
     return walk
 
 
@@ -264,7 +264,7 @@ def substring_dedup(docs: DataFrame, k: int = K, texts: bool = False, attempt: i
     if attempt:
         plan.width, plan.check = 8, True
     keyed = rows.withColumns({"_d": F.coalesce("doc_id", F.lit(NO_ID)), "_t": F.col("text_hash")})
-    walk = graph(rows, keyed, plan, k, attempt)
+    walk = graph(rows, keyed, plan, k, attempt, count)
     # what each text is asked for: its own walks, and the paths that others walk
     asked = written(_pieces(walk).distinct().select(F.col("src").alias("_d"), F.col("src_tag").alias("_t"), "start", "n"), "asked")
     many = asked.groupBy("_d", "_t").agg(F.count("*").alias("_n")).filter(F.col("_n") > asks).withColumn("_parts", F.ceil(F.col("_n") / asks).cast("int"))

@@ -523,7 +523,7 @@ def suffix_dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, texts: boo
     plan = Plan.of(4 * total // (size - gram + 2), spark)
     plan.width = 8
     marked = written(exchange(rows, plan, _emit(size, gram), _answers, _marked(most), "doc_id long, text_hash long, marks binary, hot boolean"), "marks")
-    released(spark)
+    released(spark, total)
     mine = marked.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "marks", "hot")
     keyed = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_hash").alias("_h"), "doc_id", "text")
     suffixes = keyed.join(mine, ["_id", "_h"]).select(F.col("_id").alias("doc_id"), F.col("_h").alias("text_hash"), "text", "marks")
