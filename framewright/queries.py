@@ -408,7 +408,7 @@ def p1_black_frames(spark, sf):
 def _measured(spark, sf) -> DataFrame:
     from .functions.images import image_measures
 
-    px = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 100 * x).cast("int"))))
+    px = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 100 * x.cast("double")).cast("int"))))
     data = F.unhex(F.array_join(F.transform(px, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
     img = table(spark, sf, "embeddings").select("vec_id", F.struct(data.alias("data"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels")).alias("image"))
     return img.select("vec_id", image_measures().alias("m"))
@@ -445,7 +445,7 @@ def _pixels_sql() -> str:
         )
 
     grown = listed(lambda y, x: f"strong{at(y, x)} OR (weak{at(y, x)} AND (" + " OR ".join(inside("strong", y + i, x + j, "false") for i in (-1, 0, 1) for j in (-1, 0, 1)) + "))")
-    return f"""d AS (SELECT [{rows}] AS d), px AS (SELECT vec_id, list_transform(embedding, lambda x: greatest(0, least(255, CAST(floor(128 + 100 * x) AS INT)))::DOUBLE) AS p FROM embeddings),
+    return f"""d AS (SELECT [{rows}] AS d), px AS (SELECT vec_id, list_transform(embedding, lambda x: greatest(0, least(255, CAST(floor(128 + 100 * x::DOUBLE) AS INT)))::DOUBLE) AS p FROM embeddings),
  f AS (SELECT vec_id, p, {laplace} AS l, list_transform(range(64), lambda k: list_sum(list_transform(range(64), lambda i: p[i + 1] * d[k // 8 + 1][i // 8 + 1] * d[k % 8 + 1][i % 8 + 1]))) AS low FROM px, d),
  m AS (SELECT *, list_median(low) AS mid, list_avg(l) AS mean_l FROM f),
  h AS (SELECT *, list_sum(list_transform(range(64), lambda k: CASE WHEN low[k + 1] > mid THEN CAST(1 AS HUGEINT) << CAST(63 - k AS INT) ELSE 0 END)) AS bits FROM m),
