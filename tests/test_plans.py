@@ -3,6 +3,7 @@
 import datetime
 import glob
 import os
+import random
 
 import duckdb
 import pytest
@@ -100,3 +101,25 @@ def test_stream_equals_batch(spark, tmp_path):
     seg = spark.createDataFrame([(r[0], i, r[1], r[2]) for i, r in enumerate(rows)], "video_id string, seg_idx int, start double, text string")
     want = sorted((r["video_id"], r["timestamp"], r["tier"]) for r in cues.deduplicate_cues(cues.find_cues(seg)).collect())
     assert [x for x in got if x[1] < 9000] == want
+
+
+def test_image_hash_of_equal_frequencies(spark, tmp_path):
+    """Mirrored, striped and flat pictures, half of whose frequencies are equal in theory: the last digits are SQL's too."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(240):
+        m = [[rng.randrange(-120, 120) / 100 for _ in range(8)] for _ in range(8)]
+        if i % 4 == 0:
+            m = [r[:4] + r[3::-1] for r in m]
+        elif i % 4 == 1:
+            m = m[:4] + m[3::-1]
+        elif i % 4 == 2:
+            m = [m[0]] * 8
+        elif i % 8 == 3:
+            m = [[m[0][0]] * 8] * 8
+        rows.append((i, [x for r in m for x in r]))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    name = "p2_p3_image_measures"
+    assert plain(q.QUERIES[name](spark, str(tmp_path)).toPandas()) == plain(con.sql(q.ORACLE[name]).df())
