@@ -9,7 +9,8 @@ Every window of k words is an edge of the De Bruijn graph, from the node of its
    an aggregation by node gives how many distinct repeated edges enter and leave it.
 3. Compaction.  A join with the nodes that branch (more than one edge in or out) tells where the sources' runs are cut:
    what lies between two cuts is a maximal nonbranching path of the graph, with coordinates in its source.  A join by
-   source and stretch of places cuts the runs of all documents at the same nodes, so each is a walk over such paths.
+   source and stretch of places cuts the runs of all documents at the same nodes, so each is a walk over such paths; what a
+   document goes over many times enters it once.
 4. Verification.  A join brings each distinct path (or part of one where a walk begins or ends inside) to the text of its
    source, and its exact words are compared through 128-bit digests with those of every document that walks it.
 
@@ -173,15 +174,16 @@ def branching(nodes: DataFrame) -> DataFrame:
 def walks(runs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``_d, _t, start, n, src, src_tag, src_start, cuts``: a row for each run of a document, with the places in its source
     where one nonbranching path ends and the next begins."""
-    each = runs.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.posexplode(F.arrays_zip("start", "n", "src", "src_tag", "src_start")).alias("_r", "x")).select("_d", "_t", "_r", "x.*")
+    run = ["_d", "_t", "src", "src_tag", "src_start", "n"]
+    each = runs.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.explode(F.arrays_zip("start", "n", "src", "src_tag", "src_start")).alias("x")).select("_d", "_t", "x.*")
     cut = nodes.filter("enters AND leaves").join(branching(nodes), "node", "left_semi")
     cuts = cut.groupBy("src", "src_tag", F.shiftright("at", STRETCH).alias("_s")).agg(F.collect_set("at").alias("_c"))
-    # nodes within a run: behind its first edge and before its last
-    inner = each.filter("n > 1").withColumn("_s", F.explode(F.sequence(F.shiftright(F.col("src_start") + 1, STRETCH), F.shiftright(F.col("src_start") + F.col("n") - 1, STRETCH))))
+    # nodes within a run: behind its first edge and before its last; a document that goes over one many times asks once
+    inner = each.filter("n > 1").select(*run).distinct().withColumn("_s", F.explode(F.sequence(F.shiftright(F.col("src_start") + 1, STRETCH), F.shiftright(F.col("src_start") + F.col("n") - 1, STRETCH))))
     met = inner.join(cuts, ["src", "src_tag", "_s"])
-    of = met.select("_d", "_t", "_r", F.filter("_c", lambda c: (c > F.col("src_start")) & (c < F.col("src_start") + F.col("n"))).alias("_c")).filter(F.size("_c") > 0)
-    found = of.groupBy("_d", "_t", "_r").agg(F.array_sort(F.flatten(F.collect_list("_c"))).alias("cuts"))
-    return each.join(found, ["_d", "_t", "_r"], "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<int>"))).drop("_r")
+    of = met.select(*run, F.filter("_c", lambda c: (c > F.col("src_start")) & (c < F.col("src_start") + F.col("n"))).alias("_c")).filter(F.size("_c") > 0)
+    found = of.groupBy(*run).agg(F.array_sort(F.flatten(F.collect_list("_c"))).alias("cuts"))
+    return each.join(found, run, "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<int>")))
 
 
 def _pieces(walk: DataFrame) -> DataFrame:

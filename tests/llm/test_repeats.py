@@ -173,6 +173,31 @@ def test_words_walks_are_cut_at_branching_nodes(spark, docs_of, monkeypatch):
     assert "Aggregate [node" in plan and plan.count("Join ") == 3 and "Python" not in plan
 
 
+def test_words_a_passage_many_times_in_a_document(spark, docs_of, monkeypatch):
+    """A document that goes over the same stretch of a source many times asks once where that is cut."""
+    monkeypatch.setattr(substring_dedup, "STRETCH", 3)
+    runs = [(2, 22, list(range(0, 400, 8)), [5] * 50, [1] * 50, [11] * 50, [10] * 50, [], []), (3, 33, [0, 90], [5, 20], [1, 1], [11, 11], [10, 4], [], [])]
+    runs = spark.createDataFrame(runs, "doc_id long, text_hash long, start array<int>, n array<int>, src array<long>, src_tag array<long>, src_start array<int>, own_start array<int>, own_n array<int>")
+    nodes = spark.createDataFrame([(7, True, True, 1, 11, 12), (7, True, True, 1, 11, 21), (8, True, True, 1, 11, 13)], "node long, enters boolean, leaves boolean, src long, src_tag long, at int")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        walk = substring_dedup.walks(runs, nodes)
+        got = sorted((r["_d"], r["start"], r["n"], r["src_start"], r["cuts"]) for r in walk.collect())
+        todo, made = [walk._jdf.queryExecution().executedPlan()], []
+        while todo:
+            node = todo.pop()
+            if node.nodeName() == "Generate" and "sequence" in node.toString().split("\n")[0]:
+                made.append(node.metrics().apply("numOutputRows").value())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert got == sorted([(2, a, 5, 10, [12]) for a in range(0, 400, 8)] + [(3, 0, 5, 10, [12]), (3, 90, 20, 4, [12, 21])])
+    assert made == [5]  # runs of document 2 and 3 from 10 to 15, and the one from 4 to 24, by stretches of 8
+    rows = [(1, "a b c d e f g h"), (2, "c d e f x"), (3, " ".join("a b c d e f g h y c d e f z".split() * 40))]
+    assert tuples(substring_dedup.substring_dedup(docs_of(rows), k=3), W) == words_by_hand(rows, 3)
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_hashes_of_all_seeds(seed):
     """Equal spans have equal hashes wherever they stand, also behind a very long one; twins and lengths differ."""
